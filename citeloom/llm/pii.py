@@ -148,11 +148,11 @@ def model(trees: int = 16, depth: int = 3, rate: float = 0.5, precision: float =
     return forest, float(a), float(b), cut
 
 
-def tree_column(tree, value: Column) -> Column:
+def tree_sql(tree) -> str:
     if isinstance(tree, float):
-        return F.lit(tree)
+        return f"{tree!r}D"
     f, t, low, high = tree
-    return F.when(value.getField(FEATURES[f]) <= t, tree_column(low, value)).otherwise(tree_column(high, value))
+    return f"CASE WHEN v.x.{FEATURES[f]} <= {t!r}D THEN {tree_sql(low)} ELSE {tree_sql(high)} END"
 
 
 # ---- spans
@@ -225,8 +225,8 @@ def find(docs: DataFrame) -> DataFrame:
 
     def selected(kind: str) -> Column:
         limit = math.log(cut[kind] / (1 - cut[kind])) if cut[kind] < 1 else math.inf
-        logit = lambda v: sum((tree_column(t, v["x"]) for t in forest), F.lit(0.0)) * a + b
-        scored = F.transform(F.col(f"_x_{kind}"), lambda v: F.struct(logit(v).alias("score"), v["span"].alias("span")))
+        logit = f"({' + '.join(map(tree_sql, forest))}) * {a!r}D + {b!r}D"
+        scored = F.expr(f"transform(_x_{kind}, v -> struct({logit} as score, v.span as span))")
         return F.filter(scored, lambda v: v["score"] >= limit)
 
     for name, make, kinds in (("m", matches, PATTERNS), ("g", gaps, PATTERNS), ("r", steps, PATTERNS), ("s", spans, PATTERNS), ("x", measured, PROPOSED), ("p", selected, PROPOSED)):
