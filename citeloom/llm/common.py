@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -92,13 +93,39 @@ class WordHashes(dict):
         return h
 
 
-def shingle_hashes(words: list[bytes], k: int, seen: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; fewer words make one shingle; none make none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
-    out = np.full(n, len(h) if len(h) < k else k, np.uint64)
-    for j in range(min(k, len(h))):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-    return np.unique(out)
+def shingle_batch(texts: list[str | None], k: int, seen: WordHashes) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its k-word shingles (ASCII letters lower-cased).
+
+    Fewer words than k make one shingle; none make none.
+    """
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = [len(w) for w in words]
+    flat = np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(words)), np.uint64, sum(sizes))
+    n = max(0, len(flat) - k + 1)
+    rolled = np.full(n, k, np.uint64)
+    for j in range(k if n else 0):
+        rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n])
+    out, at = [], 0
+    for size in sizes:
+        if size >= k:
+            part = np.sort(rolled[at : at + size - k + 1])
+            fresh = np.empty(len(part), bool)
+            fresh[0] = True
+            np.not_equal(part[1:], part[:-1], out=fresh[1:])
+            out.append(part[fresh])
+        elif size:
+            h = np.full(1, size, np.uint64)
+            for j in range(size):
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + flat[at + j : at + j + 1])
+            out.append(h)
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += size
+    return out
+
+
+def parity(items: np.ndarray) -> list[int]:
+    """Odd sketch: bit b tells whether an odd number of items fall on b. Sets that differ in d items differ in d bits at most."""
+    bits = 512 if len(items) <= 1000 else 4096
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()

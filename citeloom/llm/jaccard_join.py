@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, read, settle, shingle_hashes, slices
+from .common import WordHashes, broadcast_if_small, parity, read, settle, shingle_batch, slices
 from .simgraph import components, shared_rows
 
 WIDTH, NUM, DEN, SINGLES = 4, 85, 100, 256
-SLICE = 1 << 14
+SLICE, OFTEN = 1 << 14, 4
 
 
 def entity(items: np.ndarray) -> int:
@@ -48,10 +48,10 @@ def prefix_keys(items: np.ndarray, classes: np.ndarray, num: int, den: int) -> n
     items = items[np.lexsort((items, cls))]
     cls = np.sort(cls, kind="stable")
     p = n - need + 1
-    if cls[p - 1] < 2:
+    if cls[p - 1] < OFTEN:
         return items[:p]
     ext = items[: min(n, p + 1)]
-    rare = int(np.searchsorted(cls[: len(ext)], 2))
+    rare = int(np.searchsorted(cls[: len(ext)], OFTEN))
     keys = [ext[:rare]]
     often = np.sort(ext[rare:])
     if n <= SINGLES:
@@ -63,32 +63,31 @@ def prefix_keys(items: np.ndarray, classes: np.ndarray, num: int, den: int) -> n
 
 
 def frequency_classes(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame, bytes]:
-    """The settled (doc_id, ent, n) table and the classes: one byte for each of 2**bits buckets.
+    """The settled (doc_id, ent, n, odd) table and the classes: one byte for each of 2**bits buckets.
 
-    class = floor(2 * log2(count / mean count)), 0 at least: rare tokens share class 0 and 1, twice the mean is class 2.
+    class = floor(4 * log2(count / mean count)), 0 at least; from twice the mean on (class `OFTEN`) a class is frequent.
     The sketch has a fixed size, bits is at most 26 (64 MB of classes to broadcast).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, counts = WordHashes(), np.zeros(1 << bits, np.uint32)
         for b in slices(batches, 1000):
-            ents, sizes = [], []
-            for t in b.column(1).to_pylist():
-                items = shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), width, seen)
-                at, c = np.unique(items >> np.uint64(64 - bits), return_counts=True) if len(items) > 65_536 else (items >> np.uint64(64 - bits), 1)
-                np.add.at(counts, at.astype(np.int64), np.asarray(c, np.uint32))
-                ents.append(entity(items))
-                sizes.append(len(items))
-            none = pa.nulls(len(ents))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ents, pa.int64()), pa.array(sizes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            sets = shingle_batch(b.column(1).to_pylist(), width, seen)
+            for items in sets:
+                at = (items >> np.uint64(64 - bits)).astype(np.int64)  # sorted, as the items are
+                new = np.flatnonzero(np.diff(at, prepend=-1))
+                counts[at[new]] += np.diff(new, append=len(at)).astype(np.uint32)
+            none = pa.nulls(len(sets))
+            cols = [pa.array([entity(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(parity, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols, none.cast(pa.int32()), none.cast(pa.binary())], names)
         step = min(SLICE, 1 << bits)
         for k in range((1 << bits) // step):
             part = counts[k * step : (k + 1) * step]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "ent": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "slice": pa.array([k], pa.int32()), "sketch": [zlib.compress(part.tobytes(), 1)]})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "ent": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "odd": pa.nulls(1, pa.list_(pa.int64())), "slice": pa.array([k], pa.int32()), "sketch": [zlib.compress(part.tobytes(), 1)]})
 
-    names = ["doc_id", "ent", "n", "slice", "sketch"]
-    both = settle(docs.mapInArrow(run, "doc_id long, ent long, n long, slice int, sketch binary"))
+    names = ["doc_id", "ent", "n", "odd", "slice", "sketch"]
+    both = settle(docs.mapInArrow(run, "doc_id long, ent long, n long, odd array<long>, slice int, sketch binary"))
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = None
@@ -104,15 +103,15 @@ def frequency_classes(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame
     for r in parts.toLocalIterator():  # fixed number of slices
         counts[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(bytes(r["sketch"])), np.uint32)
     mean = max(counts.mean(), 8.0)
-    classes = np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 255).astype(np.uint8)
-    return both.where("slice is null").select("doc_id", "ent", "n"), classes.tobytes()
+    classes = np.clip(np.floor(4 * np.log2(np.maximum(counts, 1) / mean)), 0, 255).astype(np.uint8)
+    return both.where("slice is null").select("doc_id", "ent", "n", "odd"), classes.tobytes()
 
 
 def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
-    bits = int(np.clip(np.ceil(np.log2(max(docs.count(), 2))) + 2, 16, 26))
+    bits = int(np.clip(np.ceil(np.log2(max(docs.count(), 2))) + 3, 16, 26))
     table, packed = frequency_classes(docs, width, bits)
     classes = spark.sparkContext.broadcast(packed)
 
@@ -120,8 +119,7 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
         seen, cls, own = WordHashes(), np.frombuffer(classes.value, np.uint8), set()
         for b in slices(batches, 500):
             keys, ents, sizes = [np.empty(0, np.uint64)], [], []
-            for t in b.column(1).to_pylist():
-                items = shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), width, seen)
+            for items in shingle_batch(b.column(1).to_pylist(), width, seen):
                 ent = entity(items)
                 if ent in own:
                     continue
@@ -134,18 +132,21 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *ents])), pa.array(np.concatenate([np.empty(0, np.int32), *sizes]))], ["key", "ent", "n"])
 
     shared = shared_rows(docs.mapInArrow(index, "key long, ent long, n int"))
-    wanted = settle(shared.select("ent").distinct())
-    reps = settle(table.join(wanted, "ent").groupBy("ent").agg(F.min("doc_id").alias("doc_id")))
+    wanted = shared.select("ent").distinct()
+    entities = settle(table.join(wanted, "ent").groupBy("ent").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("odd").alias("odd")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for b in slices(batches, 500):
-            sets = [shingle_hashes((t or "").encode("utf-8", "surrogatepass").lower().split(), width, seen) for t in b.column(1).to_pylist()]
+            sets = shingle_batch(b.column(1).to_pylist(), width, seen)
             yield pa.RecordBatch.from_arrays([pa.array([entity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["ent", "items"])
 
-    chosen = docs.join(broadcast_if_small(reps.select("doc_id"), reps.count()), "doc_id", "left_semi")
-    sets = settle(chosen.mapInArrow(whole, "ent long, items binary").dropDuplicates(["ent"]))
-    roots = components(shared, sets, num, den)
+    def fetch(wanted: DataFrame) -> DataFrame:
+        ids = settle(entities.join(wanted, "ent").select("doc_id"))
+        chosen = docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+        return chosen.mapInArrow(whole, "ent long, items binary")
+
+    roots = components(shared, entities, fetch, num, den)
     # entities take the root of their component, documents the smallest id under a root
     named = table.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("_root", F.coalesce("root", "ent"))
     named = settle(named.select("doc_id", F.col("n").alias("n_shingles"), "_root"))

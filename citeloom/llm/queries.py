@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from .html_text import op5_html_text
 from .jaccard_join import op3_ngram_jaccard_join
+from .line_crf import op7_line_crf
 from .mixing import op9_entropy_mixing
+from .nearest import op10_nearest
 from .packing import op2_best_fit_packing
+from .passage_dedup import op8_passage_dedup
 from .pii import op4_pii
 from .quality_rules import op1_quality_rules
 from .url_filter import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_pii, op6_url_filter, op9_entropy_mixing)}
+OPERATORS = (op1_quality_rules, op2_best_fit_packing, op3_ngram_jaccard_join, op4_pii, op5_html_text, op6_url_filter, op7_line_crf, op8_passage_dedup, op9_entropy_mixing, op10_nearest)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {}
 

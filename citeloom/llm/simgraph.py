@@ -9,7 +9,7 @@ folder, so a lost executor repeats one step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,49 +67,60 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     one = sets.select(F.col("ent").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("ent").alias("b"), F.col("items").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
-def components(shared: DataFrame, sets: DataFrame, num: int, den: int, most_rounds: int = 6) -> DataFrame:
+def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, crowd: int = 16, stars: int = 2) -> DataFrame:
     """(node, root) over sets that link with another, at Jaccard similarity num/den or more.
 
-    `shared` comes from shared_rows(); `sets` has (ent, items) for its sets.
+    `shared` comes from shared_rows(); `entities` has (ent, n, odd), odd a parity sketch; fetch(table of ent) gives (ent,
+    items) for those sets. A pair goes to the exact count only if its sketches allow the similarity: sets that differ in
+    d items differ in d bits at most, so this test drops no link. Keys of more than `crowd` sets first go through `stars` star
+    rounds, which join most of a group of near copies; then each key is compared across the components left in it.
     """
-    spark = shared.sparkSession
-    state = shared.withColumn("comp", F.col("ent"))
+    state = settle(shared.withColumn("comp", F.col("ent")))
     done, links = None, None
     sizes = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+    one = entities.select(F.col("ent").alias("a"), F.col("n").alias("na"), F.col("odd").alias("x"))
+    two = entities.select(F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("y"))
+    near = F.expr(f"size(x) <> size(y) or aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) * {den + num} <= (na + nb) * {den - num}")
 
-    def verify(pairs: DataFrame) -> int:
+    def verify(pairs: DataFrame) -> bool:
         nonlocal done, links
         pairs = pairs.distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        seen = settle(verified(pairs, sets, num, den))
+        close = settle(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"))
+        if close.isEmpty():
+            return False
+        sets = fetch(close.select(F.col("a").alias("ent")).unionByName(close.select(F.col("b").alias("ent"))).distinct())
+        seen = settle(verified(close, sets, num, den))
         done = seen.select("a", "b") if done is None else done.unionByName(seen.select("a", "b"))
         new = seen.where("linked").select("a", "b")
+        if new.isEmpty():
+            return False
         links = new if links is None else links.unionByName(new)
-        return new.count()
+        return True
 
     def contract(state: DataFrame) -> DataFrame:
-        roots = connected(links)
-        state = state.drop("comp").join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("comp", F.coalesce("root", "ent")).drop("root")
-        state = settle(state)
-        open_keys = state.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-        return settle(state.join(open_keys, "key", "left_semi"))
-
-    for k in range(most_rounds):
-        leader = state.groupBy("key").agg(F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "comp")).alias("lead"))
+        """New components; keys that lie within one are done with."""
+        roots = connected(links).withColumnRenamed("node", "ent")
+        now = settle(state.drop("comp").join(roots, "ent", "left").withColumn("comp", F.coalesce("root", "ent")).drop("root"))
+        open_keys = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
+        out = settle(now.join(open_keys, "key", "left_semi"))
+        drop_settled(state, now)
+        return out
+
+    for k in range(stars):
+        lead = F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "comp")).alias("lead")
+        leader = state.groupBy("key").agg(F.count("*").alias("c"), lead).where(F.col("c") > crowd)
         leader = leader.select("key", F.col("lead.ent").alias("a0"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("lead_comp"))
         met = state.join(leader, "key").where("comp <> lead_comp").where(sizes)
-        found = verify(met.select(F.least("a0", "ent").alias("a"), F.greatest("a0", "ent").alias("b")))
-        if found:
-            state = contract(state)
-        if not found or state.isEmpty():
+        if not verify(met.select(F.least("a0", "ent").alias("a"), F.greatest("a0", "ent").alias("b"))):
             break
-    if not state.isEmpty():
-        left = state.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"))
-        right = state.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"))
-        met = left.join(right, "key").where("c0 < c1").where(sizes)
-        verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
-    return connected(links) if links is not None else spark.createDataFrame([], "node long, root long")
+        state = contract(state)
+    left = state.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"))
+    right = state.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"))
+    met = left.join(right, "key").where("c0 < c1").where(sizes)
+    verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
+    return connected(links) if links is not None else shared.sparkSession.createDataFrame([], "node long, root long")
