@@ -2,11 +2,12 @@
 
 Tokens are word shingles. All documents' tokens are counted into a sketch of fixed width; its counts give each token a
 frequency class, and sets are ordered by (class, hash), rare first. Two sets of similarity t share a token within their
-prefixes of n - ceil(t n) + 1 tokens, and two tokens within prefixes longer by one. So a set whose prefix holds only rare
-classes is indexed by single tokens; one that reaches frequent classes extends its prefix and is indexed by its rare
-tokens singly and by all two-token combinations of its frequent ones. Any pair that links shares a key either way. Sets
-too large for combinations (over `SINGLES` tokens) index frequent tokens singly; sets near that size do both, so that a
-pair on either side of the line still meets. Candidates are verified on the whole sets (see simgraph).
+prefixes of n - ceil(t n) + 1 tokens, and k tokens within prefixes longer by k - 1. So a set whose prefix holds only rare
+classes is indexed by single tokens; one that reaches frequent classes extends its prefix by `GROUPS` tokens and is
+indexed by its rare tokens singly and, for frequent ones, by two-token combinations within `GROUPS` hash groups: of
+GROUPS + 1 shared tokens either one is rare, or two fall into one group. Any pair that links shares a key either way. Sets
+too small or too large for combinations index frequent tokens singly; sets near those sizes do both, so that a pair on
+either side of a line still meets. Candidates are verified on the whole sets (see simgraph).
 
 Equal sets collapse to one entity before anything is joined. The order affects the work, never the result.
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, broadcast_if_small, parity, read, settle, shingle_batch, slices
 from .simgraph import components, shared_rows
 
-WIDTH, NUM, DEN, SINGLES = 4, 85, 100, 256
+WIDTH, NUM, DEN = 4, 85, 100
+#: Sets of FEW to SINGLES tokens index frequent tokens by pairs within GROUPS groups.
+FEW, SINGLES, GROUPS = 16, 512, 8
 SLICE, OFTEN = 1 << 14, 4
 
 
@@ -50,15 +53,18 @@ def prefix_keys(items: np.ndarray, classes: np.ndarray, num: int, den: int) -> n
     p = n - need + 1
     if cls[p - 1] < OFTEN:
         return items[:p]
-    ext = items[: min(n, p + 1)]
+    ext = items[: min(n, p + GROUPS)]
     rare = int(np.searchsorted(cls[: len(ext)], OFTEN))
     keys = [ext[:rare]]
-    often = np.sort(ext[rare:])
-    if n <= SINGLES:
-        i, j = np.triu_indices(len(often), 1)
-        keys.append(often[i] * np.uint64(0x9E3779B97F4A7C15) + (often[j] ^ np.uint64(0xD1B54A32D192ED03)))
-    if den * n >= num * SINGLES:
-        keys.append(often)
+    if FEW <= n <= SINGLES:
+        often = np.sort(ext[rare:])
+        group = (often >> np.uint64(17)) % np.uint64(GROUPS)
+        for g in range(GROUPS):
+            own = often[group == g]
+            i, j = np.triu_indices(len(own), 1)
+            keys.append(own[i] * np.uint64(0x9E3779B97F4A7C15) + (own[j] ^ np.uint64(0xD1B54A32D192ED03)))
+    if den * n >= num * SINGLES or num * n < den * FEW:
+        keys.append(np.setdiff1d(items[:p], ext[:rare]))
     return np.concatenate(keys)
 
 

@@ -1,7 +1,7 @@
 """Exact similarity links and connected components behind a candidate index.
 
 An index row (key, ent, n) says that the set `ent` of size n stands under `key`; any two sets that may link share a key.
-All-pairs work inside a key is avoided in rounds: each key names one leader, members are verified against it, and what
+All-pairs work inside a key is avoided in rounds: each key names a leader of its own, members are verified against it, and what
 links is contracted, so that only keys that still span several components go on. Whatever star rounds leave is compared
 across components, never inside one. Links, labels and components stay distributed; each step is written to the shared
 folder, so a lost executor repeats one step.
@@ -112,15 +112,24 @@ def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFram
         return out
 
     for k in range(stars):
-        lead = F.min(F.struct(F.xxhash64("ent", F.lit(k)).alias("h"), "ent", "n", "comp")).alias("lead")
+        lead = F.min(F.struct(F.xxhash64("ent", "key", F.lit(k)).alias("h"), "ent", "n", "comp")).alias("lead")
         leader = state.groupBy("key").agg(F.count("*").alias("c"), lead).where(F.col("c") > crowd)
         leader = leader.select("key", F.col("lead.ent").alias("a0"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("lead_comp"))
         met = state.join(leader, "key").where("comp <> lead_comp").where(sizes)
         if not verify(met.select(F.least("a0", "ent").alias("a"), F.greatest("a0", "ent").alias("b"))):
             break
         state = contract(state)
-    left = state.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"))
-    right = state.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"))
-    met = left.join(right, "key").where("c0 < c1").where(sizes)
-    verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
+    # small keys meet directly; in crowded ones the sketches are part of the join, so that only near pairs leave it
+    crowded = settle(state.groupBy("key").count().where(F.col("count") > crowd).select("key"))
+    names = [f"o{k}" for k in range(8)]
+    wide = state.join(crowded, "key", "left_semi").join(entities.select("ent", *(F.col("odd")[k].alias(c) for k, c in enumerate(names))), "ent")
+    bits = " + ".join(f"bit_count({c} ^ r{c})" for c in names)
+    alike = F.expr(f"n > 1000 or m > 1000 or ({bits}) * {den + num} <= (n + m) * {den - num}")
+    for rows, also in ((state.join(crowded, "key", "left_anti"), None), (wide, alike)):
+        extra = names if also is not None else []
+        left = rows.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"), *extra)
+        right = rows.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"), *(F.col(c).alias(f"r{c}") for c in extra))
+        met = left.join(right, "key").where("c0 < c1").where(sizes)
+        met = met if also is None else met.where(also)
+        verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
     return connected(links) if links is not None else shared.sparkSession.createDataFrame([], "node long, root long")
