@@ -14,6 +14,7 @@ longer than the capacity is cut into full pieces, the shorter remainder first; a
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from .common import read, settle, shuffle_partitions, slices
 
 CAPACITY, END = 1024, 2
-#: White space starts a new pre-token except for a single blank that leads a word, so these chunks tokenise independently.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Characters on which Python's white-space class agrees with the tokenizer's.
+#: Characters for which PRETOKEN cuts as the tokenizer does.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+#: Fixed value: the tokenizer's rule for cutting a text into pre-tokens, which are tokenised one by one; its classes of letters
+#: and numbers are written out for the plain characters.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
-    """Token ids of whole texts; ids of white-space-delimited chunks are remembered up to a bound."""
+    """Token ids of whole texts; ids of pre-tokens are remembered up to a bound, the tokenizer runs on unseen ones only."""
 
     def __init__(self, path: str, bound: int = 300_000):
         import os
@@ -53,24 +56,27 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.bound:
             self.known = {}
-        known, cut, odd, miss = self.known, [], {}, {}
+        known, cut, odd, miss = self.known, [], {}, set()
         for k, t in enumerate(texts):
             if PLAIN.search(t) or any(a in t for a in self.added):
                 odd[k] = self._whole(t)
                 cut.append(())
                 continue
-            chunks = CHUNK.findall(t)
-            cut.append(chunks)
-            for c in set(chunks):
-                if c not in known:
-                    miss[c] = None
-        if miss:
-            new = list(miss)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[c] = np.asarray(e.ids, "<u4").tobytes()
-        return [odd[k] if k in odd else b"".join(map(known.__getitem__, chunks)) for k, chunks in enumerate(cut)]
+            parts = PRETOKEN.findall(t)
+            cut.append(parts)
+            miss.update(set(parts).difference(known))
+        new = list(miss)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                known[c] = np.asarray(e.ids, "<u4").tobytes()
+        return [odd[k] if k in odd else b"".join(map(known.__getitem__, parts)) for k, parts in enumerate(cut)]
+
+
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,7 +89,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.asarray([END], "<u4").tobytes()
+        encoder, end = shared_encoder(path), np.asarray([END], "<u4").tobytes()
         for b in slices(batches, 256):
             rows: list[tuple] = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
