@@ -43,13 +43,21 @@ def paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def band_keys(items: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """A row of band keys for each of the sets, none of them empty; minima of a hash are taken over all sets at once."""
+    if not sets:
+        return np.empty((0, bands), np.uint64)
+    flat = np.concatenate(sets)
+    at = np.cumsum([0, *map(len, sets[:-1])])
     seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    low = np.array([mix64(items ^ s).min() for s in seeds]).reshape(bands, rows)
-    key = np.arange(bands, dtype=np.uint64)
-    for j in range(rows):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
-    return key
+    low = [np.minimum.reduceat(mix64(flat ^ s), at) for s in seeds]
+    keys = np.empty((len(sets), bands), np.uint64)
+    for k in range(bands):
+        key = np.full(len(sets), k, np.uint64)
+        for j in range(rows):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + low[k * rows + j])
+        keys[:, k] = key
+    return keys
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,32 +74,26 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
         return owner, found, shingle_batch([p[2] for p in found], width, seen)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
+        """Places of all paragraphs; band keys and sketch at the first of equal sets within a partition."""
+        seen, own = WordHashes(), set()
         for b in slices(batches, 500):
             owner, found, sets = cut(b, seen)
+            ents, first = [entity(s) for s in sets], []
+            for k, ent in enumerate(ents):
+                if ent not in own:
+                    if len(own) < 500_000:  # beyond that, copies give their keys again
+                        own.add(ent)
+                    first.append(k)
+            keys, odd = [None] * len(sets), [None] * len(sets)
+            for k, row in zip(first, band_keys([sets[k] for k in first], bands, rows).view(np.int64).tolist(), strict=True):
+                keys[k], odd[k] = row, parity(sets[k])
             cols = [pa.array(owner, pa.int64()), pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.int64()), pa.array([p[1] + len(p[2]) for p in found], pa.int64())]
-            cols += [pa.array([entity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "para", "start", "end", "ent", "n"])
+            cols += [pa.array(ents, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "para", "start", "end", "ent", "n", "keys", "odd"])
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, own = WordHashes(), set()
-        for b in slices(batches, 500):
-            _, _, sets = cut(b, seen)
-            keys, ents, sizes, odd = [], [], [], []
-            for s in sets:
-                ent = entity(s)
-                if ent in own:
-                    continue
-                if len(own) < 500_000:  # copies within a partition give their rows once
-                    own.add(ent)
-                ents.append(ent)
-                sizes.append(len(s))
-                odd.append(parity(s))
-                keys.append(band_keys(s, bands, rows).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(ents, pa.int64()), pa.array(sizes, pa.int32()), pa.array(odd, pa.list_(pa.int64()))], ["keys", "ent", "n", "odd"])
-
-    table = settle(docs.mapInArrow(scan, "doc_id long, para int, start long, end long, ent long, n long"))
-    signed = settle(docs.mapInArrow(index, "keys array<long>, ent long, n int, odd array<long>"))
+    both = settle(docs.mapInArrow(scan, "doc_id long, para int, start long, end long, ent long, n long, keys array<long>, odd array<long>"))
+    table = both.select("doc_id", "para", "start", "end", "ent", "n")
+    signed = both.where("keys is not null").select("keys", "ent", F.col("n").cast("int").alias("n"), "odd")
     shared = shared_rows(signed.select(F.explode("keys").alias("key"), "ent", "n"))
     wanted = shared.select("ent").distinct()
     entities = signed.join(wanted, "ent").groupBy("ent").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
