@@ -1,16 +1,25 @@
-"""Passages that repeat across documents: MinHash banding over paragraphs, exact check, removal by components.
+"""Passages that repeat across documents: MinHash banding over paragraphs, then runs of words in what is left.
 
 A paragraph is a line of a text with `MIN_WORDS` words or more (a passage; headings and footers of a few words are not).
 Equal shingle sets collapse to one entity. MinHash signatures are cut into bands tuned for recall; paragraphs that share
 a band are candidates, verified by exact Jaccard similarity on five-word shingles (see simgraph), and grouped into
 components. Of each component the first paragraph by (doc_id, para) stays, the others are marked for removal.
 
+Line breaks hide passages that are wrapped into short lines, cut differently or lie inside longer lines. So in the texts
+without the removed paragraphs, every run of `RUN` words that occurs in two rows or more is found, wherever it starts:
+each such run contains a common anchor, an `ANCHOR`-word window winnowed by hash (see anchors), so only windows around
+anchors that several rows share are compared, by equality. The first place of a run by (doc_id, place) stays, the others
+are marked; words that also belong to a run that stays are not marked. Such passages have para = -1 - start, and
+n_shingles counts their five-word windows; paragraphs have the number of their line.
+
 Defined results: null and empty texts have no paragraphs; equal rows repeat their paragraphs, which are removed but for
 the first; rows of the result exist only for paragraphs that repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, mix64, parity, read, settle, shingle_batch, slices
+from .common import WordHashes, broadcast_if_small, drop_settled, mix64, parity, read, settle, shingle_batch, slices
 from .jaccard_join import entity
 from .simgraph import components, shared_rows
 
 WIDTH, NUM, DEN, MIN_WORDS, RECALL, MOST_HASHES = 5, 80, 100, 30, 0.998, 64
+#: A run of RUN words has RUN - ANCHOR + 1 = ANCHOR windows of ANCHOR words, one of which is winnowed in any text.
+RUN, ANCHOR = 51, 26
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def tune_bands(threshold: float, recall: float, most: int, noise: float = 0.2) -> tuple[int, int]:
@@ -60,16 +72,165 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+@functools.lru_cache(1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2**bits powers of an odd base modulo 2**64, and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        row = np.full(1 << bits, b, np.uint64)
+        row[0] = 1
+        both.append(np.multiply.accumulate(row))
+    return both[0], both[1]
+
+
+def windows(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words; words are hashes."""
+    n = len(words) - width + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    up, down = powers(max(16, int(len(words)).bit_length()))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix64((total[width:] - total[:n]) * down[:n])
+
+
+def slide(x: np.ndarray, width: int, f) -> np.ndarray:
+    """f (minimum or maximum) over each `width` neighbours."""
+    span = 1
+    while 2 * span <= width:
+        x, span = f(x[:-span], x[span:]), 2 * span
+    rest = width - span
+    return f(x[:-rest], x[rest:]) if rest else x
+
+
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the minimum of some `width` neighbours: any `width` neighbours have one, whatever stands around them."""
+    if len(hashes) < width:
+        return np.empty(0, np.int64)
+    edge = np.zeros(width - 1, np.uint64)
+    low = np.concatenate([edge, slide(hashes, width, np.minimum), edge])
+    return np.flatnonzero(slide(low, width, np.maximum) == hashes)
+
+
+def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+
+
+def spans(at: list[tuple]) -> list[list]:
+    """Unions [start, end, first index, last index] of (start, end) that are sorted by both."""
+    out: list[list] = []
+    for k, (a, b) in enumerate(at):
+        if out and a <= out[-1][1]:
+            out[-1][1], out[-1][3] = b, k
+        else:
+            out.append([a, b, k, k])
+    return out
+
+
+def without(a: int, b: int, gaps: list[list]) -> list[tuple[int, int]]:
+    """The parts of [a, b) outside the sorted gaps."""
+    out = []
+    for g in gaps:
+        if g[1] > a and g[0] < b:
+            if g[0] > a:
+                out.append((a, g[0]))
+            a = max(a, g[1])
+    return [*out, (a, b)] if a < b else out
+
+
+def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of repeats() for runs of RUN words that two rows or more of (doc_id, text, row) share; gone: (row, para) lines to leave out."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordHashes()
+        for b in slices(batches, 500):
+            keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for t, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = windows(word_hashes(t, seen), ANCHOR)
+                found = np.unique(found[anchors(found, RUN - ANCHOR + 1)])
+                keys.append(found)
+                rows.append(np.full(len(found), row, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows))], ["key", "row"])
+
+    marks = settle(docs.select("text", "row").mapInArrow(mark, "key long, row long"))
+    keys = marks.groupBy("key").count().where("count > 1").select("key")
+    wanted = marks.join(keys, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))  # at most a text's anchors
+    lines = gone.groupBy("row").agg(F.collect_set("para").alias("gone"))
+    wanted = settle(wanted.join(lines, "row", "left"))
+    drop_settled(marks)
+    n = wanted.agg(F.sum(F.size("keys"))).first()[0] or 0
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows of RUN words around shared anchors; lead: the first of its kind in a row."""
+        seen = WordHashes()
+        for b in slices(batches, 200):
+            cols: list[list] = [[np.empty(0, kind)] for kind in (np.int64, np.int64, np.int64, np.int64, np.int64, bool)]
+            owner: list = []
+            for i, t, row, want, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = word_hashes(t, seen)
+                short, long = windows(words, ANCHOR), windows(words, RUN)
+                near = np.zeros(len(long) + RUN, np.int64)
+                hit = anchors(short, RUN - ANCHOR + 1)
+                hit = hit[np.isin(short[hit].view(np.int64), np.array(want, np.int64))]
+                np.add.at(near, np.maximum(hit - (RUN - ANCHOR), 0), 1)
+                np.subtract.at(near, hit + 1, 1)
+                place = np.array([m.span() for m in WORDS.finditer(t or "")], np.int64).reshape(-1, 2)
+                good = np.cumsum(near)[: len(long)] > 0
+                if out:
+                    breaks = np.array([m.start() for m in re.finditer("\n", t)], np.int64)
+                    off = np.concatenate([[0], np.cumsum(np.isin(np.searchsorted(breaks, place[:, 0]), np.array(out, np.int64)))])
+                    good &= off[RUN:] == off[: len(long)]
+                pos = np.flatnonzero(good)
+                lead = np.zeros(len(pos), bool)
+                lead[np.unique(long[pos], return_index=True)[1]] = True
+                for col, x in zip(cols, (long[pos].view(np.int64), np.full(len(pos), row, np.int64), pos, place[pos, 0], place[pos + RUN - 1, 1], lead), strict=True):
+                    col.append(x)
+                owner += [i] * len(pos)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "h", "row", "pos", "start", "end", "lead"])
+
+    ids = F.broadcast(wanted) if n <= 2_000_000 else wanted
+    found = settle(docs.join(ids, "row").select("doc_id", "text", "row", "keys", "gone").mapInArrow(around, "doc_id long, h long, row long, pos long, start long, end long, lead boolean"))
+    group = found.groupBy("h").agg(F.sum(F.col("lead").cast("int")).alias("rows"), F.min(F.struct("doc_id", "row", "start")).alias("first")).where("rows > 1").select("h", "first")
+    hits = found.join(group, "h").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "start", "end", F.col("first.row").alias("frow"), F.col("first.doc_id").alias("fdoc"), F.col("first.start").alias("fstart"))).alias("hits"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "doc_id", "start", "end", "n", "stays", "copies", "frow", "fdoc", "fstart"]
+        for b in slices(batches, 500):
+            out: list[tuple] = []
+            for row, i, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                once = sorted({(h["pos"], h["start"], h["end"], h["frow"], h["fdoc"], h["fstart"]) for h in hits}, key=lambda h: h[0])
+                copies = len(hits) // len(once)  # rows that are equal in id and text
+                stay = [h for h in once if (h[3], h[5]) == (row, h[1])]
+                rest = [h for h in once if (h[3], h[5]) != (row, h[1])]
+                kept = spans([h[1:3] for h in stay])
+                out.extend((row, i, a, b2, stay[y][0] - stay[x][0] + RUN - 4, True, copies, row, i, a) for a, b2, x, y in kept)
+                for a, b2, x, y in spans([h[1:3] for h in rest]):
+                    out.extend((row, i, p, q, rest[y][0] - rest[x][0] + RUN - 4, False, copies, *rest[x][3:]) for p, q in without(a, b2, kept))
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            kinds = (*[pa.int64()] * 5, pa.bool_(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+
+    rows = settle(hits.select("row", "doc_id", "hits").mapInArrow(merge, "row long, doc_id long, start long, end long, n long, stays boolean, copies long, frow long, fdoc long, fstart long"))
+    drop_settled(found)
+    head = rows.where("stays").select(F.col("row").alias("frow"), F.col("start").alias("_a"), F.col("end").alias("_b"))
+    rows = rows.join(head, "frow").where("fstart >= _a and fstart < _b")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    name = lambda c: (-1 - F.col(c)).cast("int")
+    return rows.select("doc_id", name("start").alias("para"), "start", "end", F.col("n").alias("n_shingles"), F.col("fdoc").alias("component_doc"), name("_a").alias("component_para"), (~F.col("stays") | (F.col("copy") > 1)).alias("removed"))
+
+
 def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, para, start, end, n_shingles, component_doc, component_para, removed: a row for each repeated paragraph."""
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
+    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").withColumn("row", F.xxhash64("doc_id", "text"))
     bands, rows = tune_bands(num / den, RECALL, MOST_HASHES)
 
     def cut(batch: pa.RecordBatch, seen: WordHashes):
         owner, found = [], []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, t, row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "row")), strict=True):
             for p in paragraphs(t, min_words):
-                owner.append(i)
+                owner.append((i, row))
                 found.append(p)
         return owner, found, shingle_batch([p[2] for p in found], width, seen)
 
@@ -87,12 +248,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
             keys, odd = [None] * len(sets), [None] * len(sets)
             for k, row in zip(first, band_keys([sets[k] for k in first], bands, rows).view(np.int64).tolist(), strict=True):
                 keys[k], odd[k] = row, parity(sets[k])
-            cols = [pa.array(owner, pa.int64()), pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.int64()), pa.array([p[1] + len(p[2]) for p in found], pa.int64())]
+            cols = [pa.array([o[0] for o in owner], pa.int64()), pa.array([o[1] for o in owner], pa.int64()), pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.int64()), pa.array([p[1] + len(p[2]) for p in found], pa.int64())]
             cols += [pa.array(ents, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "para", "start", "end", "ent", "n", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "para", "start", "end", "ent", "n", "keys", "odd"])
 
-    both = settle(docs.mapInArrow(scan, "doc_id long, para int, start long, end long, ent long, n long, keys array<long>, odd array<long>"))
-    table = both.select("doc_id", "para", "start", "end", "ent", "n")
+    both = settle(docs.mapInArrow(scan, "doc_id long, row long, para int, start long, end long, ent long, n long, keys array<long>, odd array<long>"))
+    table = both.select("doc_id", "row", "para", "start", "end", "ent", "n")
     signed = both.where("keys is not null").select("keys", "ent", F.col("n").cast("int").alias("n"), "odd")
     shared = shared_rows(signed.select(F.explode("keys").alias("key"), "ent", "n"))
     wanted = shared.select("ent").distinct()
@@ -106,12 +267,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = WordHashes()
             for b in slices(batches, 500):
-                ask = b.column(2).to_pylist()
+                ask = b.column(3).to_pylist()
                 out = [(ent, s.tobytes()) for k in range(b.num_rows) for s in cut(b.slice(k, 1), seen)[2] if (ent := entity(s)) in ask[k]]
                 out = list(dict(out).items())
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["ent", "items"])
 
-        chosen = docs.join(broadcast_if_small(ids, ids.count()), "doc_id").select("doc_id", "text", "ents")
+        chosen = docs.join(broadcast_if_small(ids, ids.count()), "doc_id").select("doc_id", "text", "row", "ents")
         return chosen.mapInArrow(whole, "ent long, items binary")
 
     roots = components(shared, entities, fetch, num, den)
@@ -123,15 +284,19 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     firsts = out.where(F.struct("doc_id", "para") == F.col("_first"))
     again = F.row_number().over(W.partitionBy("doc_id", "para").orderBy("start")) > 1
     rest = out.where(F.struct("doc_id", "para") != F.col("_first")).withColumn("removed", F.lit(True))
-    out = firsts.withColumn("removed", again).unionByName(rest)
-    return out.select("doc_id", "para", "start", "end", F.col("n").alias("n_shingles"), "component_doc", "component_para", "removed")
+    out = settle(firsts.withColumn("removed", again).unionByName(rest).withColumn("first", F.struct("doc_id", "para") == F.col("_first")))
+    more = passages(docs, out.where("not first").select("row", "para"))
+    return out.select("doc_id", "para", "start", "end", F.col("n").alias("n_shingles"), "component_doc", "component_para", "removed").unionByName(more)
 
 
 def strip(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the lines that repeats() marks as removed; other columns stay."""
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("para").alias("_gone"))
-    lines = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)
+    """docs without the lines and passages that repeats() marks as removed; other columns stay."""
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "para"))).alias("_gone"))
+    # a line goes with its line break, or with the one before if it is the last
+    cut = F.expr("""aggregate(_gone, struct('' as s, 0L as at), (a, g) -> struct(
+        concat(a.s, substring(text, int(a.at) + 1, greatest(0, int(g.start - a.at) - if(g.para >= 0 and g.end = length(text), 1, 0)))) as s,
+        greatest(a.at, g.end + if(g.para >= 0, 1L, 0L)) as at), a -> concat(a.s, substring(text, int(a.at) + 1)))""")
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """Cases of the first review: each failed before its finding was settled."""
 
-from citeloom.llm import quality_rules
+import collections
+
+from citeloom.llm import passage_dedup, quality_rules
+from citeloom.llm.common import read
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_one_word_counts_all_words():
@@ -10,3 +15,48 @@ def test_one_word_counts_all_words():
     doc = quality_rules.measure(" ".join(words))
     assert rule.rejects(doc) and not quality_rules.base_failed(doc)
     assert not rule.rejects(quality_rules.measure(" ".join(["same"] * 4 + words[::2][:6])))  # 40 % is allowed
+
+
+def test_passages_whatever_the_line_breaks(spark):
+    run = [f"p{k}" for k in range(51)]
+    own = lambda i, n: [f"d{i}x{k}" for k in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows = [(1, " ".join(own(1, 200) + run + own(1, 90))), (2, wrap(own(2, 10) + run, 12)), (3, wrap(own(3, 5) + run[:27], 40) + "\n" + wrap(run[27:], 40)), (4, " ".join(own(4, 60) + run[:50]))]
+    got = passage_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r for r in got.collect()}
+    assert set(found) == {1, 2, 3} and {(r.component_doc, r.component_para) for r in found.values()} == {(1, found[1].para)}
+    for i, text in rows[:3]:
+        assert text[found[i].start : found[i].end].split() == run and found[i].removed == (i > 1) and found[i].n_shingles == 47
+    left = {r.doc_id: r.text.split() for r in passage_dedup.strip(spark.createDataFrame(rows, "doc_id long, text string"), got).collect()}
+    assert left == {1: rows[0][1].split(), 2: own(2, 10), 3: own(3, 5), 4: rows[3][1].split()}
+
+
+def test_passages_against_all_runs(spark):
+    """Every place of a run of 51 words that two documents share is marked, or is the first of its kind, or overlaps one that stays."""
+    texts = {r.doc_id: r.text for r in read(spark, SF, "documents").collect()}
+    marked, stays = collections.defaultdict(list), collections.defaultdict(list)
+    for r in passage_dedup.op8_passage_dedup(spark, SF).collect():
+        (marked if r.removed else stays)[r.doc_id].append((r.start, r.end))
+    where = collections.defaultdict(list)
+    for i in sorted(texts):
+        at = [m.span() for m in passage_dedup.WORDS.finditer(texts[i] or "")]
+        words = (texts[i] or "").encode().lower().split()
+        for k in range(len(words) - 50):
+            where[tuple(words[k : k + 51])].append((i, at[k][0], at[k + 50][1]))
+    shared = [v for v in where.values() if len({i for i, _, _ in v}) > 1]
+    meets = lambda spans, a, b: any(x < b and a < y for x, y in spans)
+    assert shared and all(meets(marked[i] + stays[i], a, b) for v in shared for i, a, b in v)
+    assert all(meets(marked[i], a, b) or meets(stays[i], a, b) for v in shared for i, a, b in v[1:])
+    missed = sum(not meets(marked[i], a, b) for v in shared for i, a, b in v if i != v[0][0])
+    assert missed <= 0.01 * sum(map(len, shared))
+
+
+def test_passages_keep_the_rows_of_lines(spark):
+    from test_operators import brute_components, shingles
+
+    texts = {r.doc_id: r.text for r in read(spark, SF, "documents").collect()}
+    paras = {(i, k): shingles(x, 5) for i, t in texts.items() for k, x in enumerate(t.split("\n")) if len(x.encode().split()) >= 30}
+    root = brute_components(paras, 80, 100)
+    n = collections.Counter(root.values())
+    got = {(r.doc_id, r.para): (r.component_doc, r.component_para) for r in passage_dedup.op8_passage_dedup(spark, SF).where("para >= 0").collect()}
+    assert got == {p: r for p, r in root.items() if n[r] > 1}
