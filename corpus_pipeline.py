@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from citeloom.llm import jaccard_join, mixing, packing, pii, quality_rules
 from citeloom.llm.common import broadcast_if_small, read, settle
 
+#: Near copies share this part of their five-word shingles; the limits of op3 bind that query only.
+WIDTH, NUM, DEN = 5, 80, 100
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
@@ -20,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows that repeat its id and text go, too."""
-    linked = settle(jaccard_join.link(docs))
+    linked = settle(jaccard_join.link(docs, width=WIDTH, num=NUM, den=DEN))
     gone = settle(linked.where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
     again = settle(linked.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))

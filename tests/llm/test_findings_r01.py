@@ -60,3 +60,16 @@ def test_passages_keep_the_rows_of_lines(spark):
     n = collections.Counter(root.values())
     got = {(r.doc_id, r.para): (r.component_doc, r.component_para) for r in passage_dedup.op8_passage_dedup(spark, SF).where("para >= 0").collect()}
     assert got == {p: r for p, r in root.items() if n[r] > 1}
+
+
+def test_pipeline_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(104)]
+    other = [*words[:52], "x", *words[53:]]
+    third = [*words[:30], "y", *words[31:70], "z", *words[71:]]
+    far = [*words[:20], "p", *words[21:60], "q", "r", *words[62:]]  # linked at five words and 0.8 only
+    rows = [(k, " ".join(w), "en", "s", 9) for k, w in enumerate((words, other, third, far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id in (0, 3)"), SF).collect()] == [0]
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
