@@ -83,7 +83,8 @@ def closer(by_size: DataFrame) -> DataFrame:
 
 
 def copies(sized: DataFrame, table: DataFrame) -> DataFrame:
-    """Whole copies for each row of (doc_id, source, size): adds source_size, target and copies."""
+    """Whole copies for each row of (doc_id, source, size, ...): adds source_size, target and copies."""
+    also = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     spark = sized.sparkSession
     buckets = shuffle_partitions(spark)
     sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
@@ -103,16 +104,16 @@ def copies(sized: DataFrame, table: DataFrame) -> DataFrame:
     before = W.partitionBy("source", "size").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     spots = cells.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     spots = spots.join(by_size, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_bucket").alias("_b"), "_start", "_extra", "_low", "source_size", "target")
-    own = W.partitionBy("source", "size", "_bucket").orderBy("doc_id")
+    own = W.partitionBy("source", "size", "_bucket").orderBy("doc_id", *also)
     ranked = sized.withColumn("_rank", F.row_number().over(own) - 1)
     out = ranked.join(spots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_bucket") == F.col("_b")))
     more = (F.col("_rank") + F.col("_start") < F.col("_extra")).cast("long")
-    return out.withColumn("copies", F.when(F.col("size") > 0, F.col("_low") + more).otherwise(0).cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.withColumn("copies", F.when(F.col("size") > 0, F.col("_low") + more).otherwise(0).cast("long")).select("doc_id", *also, "source", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for all documents."""
-    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
+def mix(docs: DataFrame, cap: float = CAP, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for all documents, with the number of the row if named."""
+    sized = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([row_col] if row_col else []), "source", word_count(F.col("text")).alias("size")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return copies(sized, balance(targets(sources, cap))).withColumn("taken", F.col("copies") * F.col("size"))
 

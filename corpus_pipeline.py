@@ -21,17 +21,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a settled number for each row, as ids may be null or repeat."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; rows that repeat its id and text go, too."""
-    linked = settle(jaccard_join.link(docs, width=WIDTH, num=NUM, den=DEN))
-    gone = settle(linked.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti")
-    again = settle(linked.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    n = again.count()
-    if n:
-        again = broadcast_if_small(again, n)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+    """The row with the smallest id of each group of near copies (rows without id come last); ids may repeat or be null."""
+    rows = numbered(docs)
+    linked = settle(jaccard_join.link(rows, width=WIDTH, num=NUM, den=DEN, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    first = first.where("_n > 1").select("component_id", F.col("_first._row").alias("_stays"))
+    gone = settle(linked.join(first, "component_id").where("_row <> _stays").select("_row"))
+    return rows.join(broadcast_if_small(gone, gone.count()), "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +44,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that repeat an id share one number of copies."""
-    rates = settle(mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0"))
-    out = docs.join(broadcast_if_small(rates, rates.count()), "doc_id")
+    """Each row as many times as the mix takes it, whether or not its id is null or repeats."""
+    rows = numbered(docs)
+    rates = settle(mixing.mix(rows, row_col="_row").select("_row", F.col("copies").cast("int").alias("_copies")).where("_copies > 0"))
+    out = rows.join(broadcast_if_small(rates, rates.count()), "_row")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

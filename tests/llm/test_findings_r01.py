@@ -73,3 +73,52 @@ def test_pipeline_near_copies_of_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.where("doc_id in (0, 3)"), SF).collect()] == [0]
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
+
+
+def test_pipeline_against_brute_force(spark):
+    """All stages row by row, with ids that repeat or are null."""
+    from test_operators import brute_components, shingles
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from citeloom.llm import mixing, packing, pii
+
+    docs = read(spark, SF, "documents")
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    clean = [t for _, t in texts if t and 60 < len(t.split()) < 400 and not any(x.rejects(quality_rules.measure(t)) for x in quality_rules.RULES) and not quality_rules.base_failed(quality_rules.measure(t))]
+    copied = next(t for t in clean)
+    odd = [(10**6, copied), (10**6, " ".join(f"own{k}" for k in range(80))), (None, copied), (None, " ".join(f"none{k}" for k in range(90))), (None, " ".join(f"none{k}" for k in range(90)))]
+    rows = texts + odd
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(rows)], schema)
+
+    kept = corpus_pipeline.quality(spark, table, SF)
+    good = [(i, t) for i, t in rows if not quality_rules.base_failed(d := quality_rules.measure(t)) and not any(x.rejects(d) for x in quality_rules.RULES)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(good, key=key)
+
+    good.sort(key=key)
+    root = brute_components({k: shingles(t, 5) for k, (_, t) in enumerate(good)}, 80, 100)
+    want = [r for k, r in enumerate(good) if root[k] == k]
+    single = corpus_pipeline.near_duplicates(spark, kept, SF)
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=key) == want
+    assert {i for i, _ in want} >= {None, 10**6} and (10**6, copied) not in want and (None, copied) not in want and sum(i is None for i, _ in want) == 1
+
+    private = corpus_pipeline.personal_data(spark, single, SF)
+    texts_now = sorted(((r.doc_id, r.text) for r in private.collect()), key=key)
+    assert texts_now == sorted(((r.doc_id, r.text) for r in pii.redact(single).collect()), key=key)
+
+    mixed = corpus_pipeline.source_mix(spark, private, SF)
+    taken = collections.Counter((r.doc_id, r.text) for r in mixed.collect())
+    rates = {(r.doc_id, r.size): r.copies for r in mixing.mix(private).collect()}
+    assert set(taken) <= set(texts_now) and all(taken[r] == rates[r[0], len(r[1].encode().split())] for r in texts_now if r[0] is not None and r[0] < 10**6)
+    assert abs(sum(n * len(r[1].encode().split()) for r, n in taken.items()) - sum(len(t.encode().split()) for _, t in texts_now)) <= 0.05 * sum(len(t.encode().split()) for _, t in texts_now)
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    lengths = collections.Counter()
+    for r in corpus_pipeline.sequences(spark, mixed, SF).collect():
+        lengths[r.doc_id] += r.length
+    ids = collections.Counter()
+    for (i, t), n in taken.items():
+        ids[i] += n * (len(tok.encode(t, add_special_tokens=False).ids) + 1)
+    assert lengths == +ids
