@@ -6,7 +6,8 @@ vectors are found by one aggregation that combines map-side and never gathers a
 equivalence class; a class is valid if its tokens occur once a page on most pages of the host and nest below tokens of
 valid classes. Valid classes make up the host's template; text between its tokens lies in slots. A slot is main text if
 it is an article (or, on hosts without such a tag, the slot with most text outside links) and not a menu, header, footer,
-sidebar, notice, advert, form or comment list by its tokens. Pages outside a template fall back on their own tokens.
+sidebar, notice, advert, form or comment list by its tokens. Names of wrappers do not make an article noise where a page has
+no other, and in an article a part of a name (related-work) does so only where most of the text is links. Pages outside a template fall back on their own tokens.
 
 Defined results: null and empty html give an empty text; broken markup (open elements, cut tags and references) is read
 as far as it goes; pages that repeat an id are extracted one by one; an empty table gives an empty result.
@@ -14,6 +15,7 @@ as far as it goes; pages that repeat an id are extracted one by one; an empty ta
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea noscript template iframe svg math object canvas".split())
 NOISE_TAGS = frozenset("nav footer aside form head title button select option menu dialog fieldset".split())
 NOISE_NAMES = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|notice|cookies?|consent|gdpr|banner|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|share|social|related|comments?|disqus|replies|newsletter|subscribe|login|signup|search|breadcrumbs?|pagination|popup|modal)(?:$|[-_\s])", re.I)
+#: Elements that hold no main text even if an article stands in them.
+ASIDE_TAGS = frozenset("nav footer aside head title button select option menu".split())
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "button"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -46,23 +50,39 @@ class Block:
     linked: int
     noise: bool
     article: bool
+    own: bool
+    doubts: tuple[int, ...] = ()
+
+
+@functools.lru_cache(50_000)
+def noisy(names: str) -> int:
+    """2 if a whole name says noise, 1 if a part of one does, else 0."""
+    kind = 0
+    for name in names.split():
+        if NOISE_NAMES.search(name):
+            kind = max(kind, 2 if all(NOISE_NAMES.search(x) for x in re.split("[-_]+", name) if x) else 1)
+    return kind
 
 
 def parse(page: str | None) -> tuple[list[Block], dict[str, int]]:
     """The text blocks of a page, in order, and how often each element path occurs."""
     page = page or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, noise, article
+    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = []  # tag, label, noise, article, own noise, doubts
     blocks: list[Block] = []
     paths: dict[str, int] = {}
     parts: list[str] = []
+    doubt: list[list[int]] = []  # characters in links and in all, of elements in an article that a part of a name calls noise
     linked = links = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            top = stack[-1] if stack else ("", "", False, False)
-            blocks.append(Block(tuple(s[1] for s in stack), text, linked, top[2], top[3]))
+            top = stack[-1] if stack else ("", "", False, False, False, ())
+            blocks.append(Block(tuple(s[1] for s in stack), text, linked, *top[2:]))
+            for k in top[5]:
+                doubt[k][0] += linked
+                doubt[k][1] += len(text)
         parts.clear()
         linked = 0
 
@@ -117,15 +137,26 @@ def parse(page: str | None) -> tuple[list[Block], dict[str, int]]:
             if tag == "hr":
                 continue
             names = " ".join(x[1] or x[2] or x[3] for x in NAMES.findall(m[3]))
-            up_noise, up_article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            up_noise, up_article, up_own, up_doubts = stack[-1][2:] if stack else (False, False, False, ())
             article = up_article or tag in ("article", "main")
-            noise = up_noise or tag in NOISE_TAGS or (tag == "header" and not article) or bool(NOISE_NAMES.search(names)) and tag not in ("html", "body")
-            stack.append((tag, tag + ("." + re.sub(r"\d+", "", names.lower()) if names else ""), noise, article))
+            kind = noisy(names) if names and tag not in ("html", "body") else 0
+            if kind == 1 and up_article:
+                kind, up_doubts = 0, (*up_doubts, len(doubt))
+                doubt.append([0, 0])
+            here = tag in NOISE_TAGS or (tag == "header" and not article) or kind > 0
+            # own: without what wrappers around an article say by name, or as a form
+            own = up_own or (here if up_article else tag in ASIDE_TAGS or kind == 2 and tag not in ("article", "main") or tag == "header" and not article)
+            if article and not up_article and not any(s[0] in ASIDE_TAGS for s in stack):
+                own = False
+            stack.append((tag, tag + ("." + re.sub(r"\d+", "", names.lower()) if names else ""), up_noise or here, article, own, up_doubts))
             key = "/".join(s[1] for s in stack)
             paths[key] = paths.get(key, 0) + 1
     tail = page[pos:]
     words(tail)
     flush()
+    for b in blocks:
+        if any(2 * doubt[k][0] > doubt[k][1] for k in b.doubts):
+            b.noise = b.own = True
     return blocks, paths
 
 
@@ -177,7 +208,9 @@ def main_text(page: str | None, main: str | None) -> str:
     clean = [b for b in blocks if not b.noise]
     under = lambda b: main is not None and f"{'/'.join(b.path)}/".startswith(main + "/")
     inside = [b for b in clean if b.article or under(b)]
-    return "\n\n".join(b.text for b in (inside or clean))
+    if not inside:  # an article in wrappers of noisy names is no noise
+        inside = [b for b in blocks if not b.own and b.article]
+    return "\n\n".join(b.text for b in (inside or clean or [b for b in blocks if not b.own]))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import collections
 
-from citeloom.llm import passage_dedup, quality_rules
+from citeloom.llm import html_text, passage_dedup, quality_rules
 from citeloom.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +122,11 @@ def test_pipeline_against_brute_force(spark):
     for (i, t), n in taken.items():
         ids[i] += n * (len(tok.encode(t, add_special_tokens=False).ids) + 1)
     assert lengths == +ids
+
+
+def test_html_noise_names():
+    article = "<article><h1>T</h1><p>body text</p><section id='related-work'><p>prior</p></section><h2 id='side-effects'>S</h2><div class='search-results'>r</div><div class='related-posts'><a href='/'>other page</a></div><div class='comments'>no</div></article>"
+    want = "T\n\nbody text\n\nprior\n\nS\n\nr"
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='no-sidebar'>{}</div>", "<form action='/'>{}</form>", "<div>{}</div>"):
+        page = "<html><body><nav>Menu</nav>" + wrap.format(article) + "<aside><article>teaser</article></aside><footer>f</footer></body></html>"
+        assert html_text.main_text(page, None) == want
