@@ -4,7 +4,10 @@ Tokens are the element paths of a page (tag, class and id, digits dropped). Over
 vector, its count on each page, is folded into a commutative fingerprint (sum of hashes of page and count), so equal
 vectors are found by one aggregation that combines map-side and never gathers a host. Tokens with one fingerprint form an
 equivalence class; a class is valid if its tokens occur once a page on most pages of the host and nest below tokens of
-valid classes. Valid classes make up the host's template; text between its tokens lies in slots. A slot is main text if
+valid classes. Valid classes make up the host's template; text between its tokens lies in slots. A text under its path is
+a token, too: one that occurs once a page on most pages of the host (`LEAST_PAGES` at least) belongs to the template and
+is left out, wherever it stands, unless the page has no other text. Which slots are main text is read from tags and names
+first, not deduced from the classes. A slot is main text if
 it is an article (or, on hosts without such a tag, the slot with most text outside links) and not a menu, header, footer,
 sidebar, notice, advert, form or comment list by its tokens. Names of wrappers do not make an article noise where a page has
 no other, and in an article a part of a name (related-work) does so only where most of the text is links. Pages outside a template fall back on their own tokens.
@@ -18,11 +21,14 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +45,8 @@ NOISE_TAGS = frozenset("nav footer aside form head title button select option me
 NOISE_NAMES = re.compile(r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|notice|cookies?|consent|gdpr|banner|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|share|social|related|comments?|disqus|replies|newsletter|subscribe|login|signup|search|breadcrumbs?|pagination|popup|modal)(?:$|[-_\s])", re.I)
 #: Elements that hold no main text even if an article stands in them.
 ASIDE_TAGS = frozenset("nav footer aside head title button select option menu".split())
+#: A text that fewer pages share may be a copied page.
+LEAST_PAGES = 3
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "option", "button"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -200,11 +208,38 @@ def templates(pages: DataFrame, support: float = 0.5) -> DataFrame:
         best = max(slots, key=lambda m: (m["free"], m["path"]), default=None)
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "tokens": [sorted(kept)], "main": [best["path"] if best else None]})
 
-    return classes.groupBy("host").applyInPandas(nest, "host string, tokens array<string>, main string")
+    slots = classes.groupBy("host").applyInPandas(nest, "host string, tokens array<string>, main string")
+    fixed = pages.mapInArrow(_texts, "host string, token long").groupBy("host", "token").agg(F.count("*").alias("pages"))
+    fixed = fixed.where(f"pages >= {LEAST_PAGES}").join(hosts, "host").where(F.col("pages") >= support * F.col("host_pages"))
+    return slots.join(fixed.groupBy("host").agg(F.collect_list("token").alias("fixed")), "host", "left")
 
 
-def main_text(page: str | None, main: str | None) -> str:
+def text_token(b: Block) -> int:
+    """A text with the path it stands under."""
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest("\0".join((*b.path, b.text)).encode("utf-8", "surrogatepass")))))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token): the text tokens that occur once on a page."""
+    for b in slices(batches, 500):
+        out: list[tuple] = []
+        for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            host = host_path(u)[0]
+            out.extend((host, k) for k, n in Counter(map(text_token, parse(h)[0])).items() if n == 1)
+        cols = list(zip(*out, strict=True)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["host", "token"])
+
+
+def main_text(page: str | None, main: str | None, fixed: frozenset[int] = frozenset()) -> str:
+    """The text of the page's slots; fixed: text tokens of the host's template, left out unless nothing else is there."""
     blocks, _ = parse(page)
+    if fixed:
+        blocks = [b for b in blocks if text_token(b) not in fixed]
+        return _slots(blocks, main) or main_text(page, main)
+    return _slots(blocks, main)
+
+
+def _slots(blocks: list[Block], main: str | None) -> str:
     clean = [b for b in blocks if not b.noise]
     under = lambda b: main is not None and f"{'/'.join(b.path)}/".startswith(main + "/")
     inside = [b for b in clean if b.article or under(b)]
@@ -218,11 +253,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     pages = pages.selectExpr(f"cast(`{id_col}` as bigint) as page_id", f"`{url_col}` as url", f"`{html_col}` as html")
     found = settle(templates(pages))
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    joined = pages.withColumn("host", host).join(broadcast_if_small(found, found.count(), 100_000), "host", "left").select("page_id", "url", "html", "main")
+    joined = pages.withColumn("host", host).join(broadcast_if_small(found, found.count(), 100_000), "host", "left").select("page_id", "url", "html", "main", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500):
-            out = [main_text(h, m) for h, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            out = [main_text(h, m, frozenset(f or ())) for h, m, f in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

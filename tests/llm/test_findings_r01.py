@@ -130,3 +130,10 @@ def test_html_noise_names():
     for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='no-sidebar'>{}</div>", "<form action='/'>{}</form>", "<div>{}</div>"):
         page = "<html><body><nav>Menu</nav>" + wrap.format(article) + "<aside><article>teaser</article></aside><footer>f</footer></body></html>"
         assert html_text.main_text(page, None) == want
+
+
+def test_html_template_text_inside_the_article(spark):
+    page = "<html><body><article><h1>T{0}</h1><p>Read our terms of use.</p><p>body {0}</p><p>line {0}</p></article></body></html>"
+    rows = [(k, f"http://h.org/{k}", page.format(k)) for k in range(5)] + [(9, "http://g.org/", page.format(9))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"T{k}\n\nbody {k}\n\nline {k}" for k in range(5)} | {9: "T9\n\nRead our terms of use.\n\nbody 9\n\nline 9"}
