@@ -1,8 +1,9 @@
 """Cases of the first review: each failed before its finding was settled."""
 
 import collections
+import hashlib
 
-from citeloom.llm import html_text, passage_dedup, quality_rules
+from citeloom.llm import html_text, passage_dedup, pii, quality_rules
 from citeloom.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,9 @@ def test_html_template_text_inside_the_article(spark):
     rows = [(k, f"http://h.org/{k}", page.format(k)) for k in range(5)] + [(9, "http://g.org/", page.format(9))]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"T{k}\n\nbody {k}\n\nline {k}" for k in range(5)} | {9: "T9\n\nRead our terms of use.\n\nbody 9\n\nline 9"}
+
+
+def test_pii_long_secrets(spark):
+    key = "".join(f"{hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(5))  # 320 characters
+    got = pii.redact(spark.createDataFrame([(f"the api_key={key[:200]} ok",), (f"the api_key={key} ok",)], "text string")).collect()
+    assert {r.text for r in got} == {"the api_key=<SECRET> ok"}
