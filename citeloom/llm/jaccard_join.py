@@ -150,6 +150,8 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
     def fetch(wanted: DataFrame) -> DataFrame:
         ids = settle(entities.join(wanted, "ent").select("doc_id"))
         chosen = docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_semi")
+        if not ids.where("doc_id is null").isEmpty():  # sets that occur only in rows without id
+            chosen = chosen.unionByName(docs.where("doc_id is null"))
         return chosen.mapInArrow(whole, "ent long, items binary")
 
     roots = components(shared, entities, fetch, num, den)

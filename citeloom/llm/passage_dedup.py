@@ -258,11 +258,11 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     shared = shared_rows(signed.select(F.explode("keys").alias("key"), "ent", "n"))
     wanted = shared.select("ent").distinct()
     entities = signed.join(wanted, "ent").groupBy("ent").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
-    places = table.join(wanted, "ent").groupBy("ent").agg(F.min(F.struct("doc_id", "para")).alias("at"))
-    entities = settle(entities.join(places, "ent").select("ent", "n", "odd", F.col("at.doc_id").alias("doc_id"), F.col("at.para").alias("para")))
+    places = table.join(wanted, "ent").groupBy("ent").agg(F.min("row").alias("row"))
+    entities = settle(entities.join(places, "ent").select("ent", "n", "odd", "row"))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        ids = settle(entities.join(wanted, "ent").groupBy("doc_id").agg(F.collect_set("ent").alias("ents")))  # at most a text's paragraphs
+        ids = settle(entities.join(wanted, "ent").groupBy("row").agg(F.collect_set("ent").alias("ents")))  # at most a text's paragraphs
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = WordHashes()
@@ -272,7 +272,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
                 out = list(dict(out).items())
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["ent", "items"])
 
-        chosen = docs.join(broadcast_if_small(ids, ids.count()), "doc_id").select("doc_id", "text", "row", "ents")
+        chosen = docs.join(broadcast_if_small(ids, ids.count()), "row").select("doc_id", "text", "row", "ents")
         return chosen.mapInArrow(whole, "ent long, items binary")
 
     roots = components(shared, entities, fetch, num, den)

@@ -3,7 +3,7 @@
 import collections
 import hashlib
 
-from citeloom.llm import html_text, passage_dedup, pii, quality_rules
+from citeloom.llm import html_text, jaccard_join, passage_dedup, pii, quality_rules
 from citeloom.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,16 @@ def test_pii_long_secrets(spark):
     key = "".join(f"{hashlib.sha256(str(k).encode()).hexdigest()}" for k in range(5))  # 320 characters
     got = pii.redact(spark.createDataFrame([(f"the api_key={key[:200]} ok",), (f"the api_key={key} ok",)], "text string")).collect()
     assert {r.text for r in got} == {"the api_key=<SECRET> ok"}
+
+
+def test_links_by_rows_without_id(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [*base[:50], "n", *base[51:]]
+    far = [*near[:20], "f", *near[21:]]  # linked with near only
+    rows = [(1, " ".join(base)), (None, " ".join(base)), (2, " ".join(near))]
+    got = passage_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("para >= 0").collect()
+    assert sorted((r.doc_id for r in got), key=lambda i: i or 0) == [None, 1, 2] and len({(r.component_doc, r.component_para) for r in got}) == 1
+    rows = [(1, " ".join(base)), (None, " ".join(near)), (2, " ".join(far))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.link(table.where("doc_id is not null")).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: r.component_id for r in jaccard_join.link(table).collect()} == {1: 1, None: 1, 2: 1}
