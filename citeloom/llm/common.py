@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word pattern of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-M64 = (1 << 64) - 1
+
+
+#: Bytes of a row group of settled tables; a writer holds one in memory.
+ROW_GROUP = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +39,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,15 +62,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-
-
-def slices(batches, rows: int = 2000):
-    """Record batches of at most so many rows, so that long texts do not pile up."""
+def slices(batches, rows: int = 2000, column: int = -1, most: int = 1 << 20):
+    """Record batches of at most so many rows and about `most` bytes of a text column, so that long texts do not pile up."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        if column < 0:
+            ends = range(rows, b.num_rows + rows, rows)
+        else:
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            ends, at, done = [], 0, 0
+            while at < b.num_rows:
+                at = min(at + rows, max(at + 1, int(np.searchsorted(size, done + most, "right"))))
+                done = int(size[at - 1])
+                ends.append(at)
+        at = 0
+        for end in ends:
+            yield b.slice(at, end - at)
+            at = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -75,57 +87,110 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound of entries."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.bound:
-                self.clear()
-            self[word] = h
-        return h
-
-
-def shingle_batch(texts: list[str | None], k: int, seen: WordHashes) -> list[np.ndarray]:
+@functools.lru_cache(1)
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2**bits powers of an odd base modulo 2**64, and of its inverse."""
+    base, both = 0x9E3779B97F4A7C15, []
+    for b in (base, pow(base, -1, 1 << 64)):
+        row = np.full(1 << bits, b, np.uint64)
+        row[0] = 1
+        both.append(np.multiply.accumulate(row))
+    return both[0], both[1]
+
+
+def runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each x[start:end], from one polynomial prefix sum over uint64 values."""
+    up, down = powers(max(20, int(len(x)).bit_length()))
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[: len(x)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts])
+
+
+def windows(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` words; words are hashes."""
+    n = max(0, len(words) - width + 1)
+    at = np.arange(n)
+    return runs(words, at, at + width) if n else np.empty(0, np.uint64)
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random 64-bit value for each byte, upper-case letters as lower-case ones.
+BYTES = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64)
+BYTES[65:91] = BYTES[97:123]
+LONG_WORD = 64
+
+
+@dataclass
+class Words:
+    """The words of some texts: hashes, byte places in `raw`, and where each text begins in them and in raw."""
+
+    raw: bytes
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    text_at: np.ndarray
+
+    def of(self, k: int) -> slice:
+        return slice(int(self.first[k]), int(self.first[k + 1]))
+
+    def places(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the words of text k, in code points."""
+        at, own = int(self.text_at[k]), self.of(k)
+        body = np.frombuffer(self.raw, np.uint8)[at : int(self.text_at[k + 1])]
+        starts, ends = self.starts[own] - at, self.ends[own] - at
+        more = (body & 0xC0) == 0x80
+        if more.any():
+            before = np.concatenate([[0], np.cumsum(more)])
+            starts, ends = starts - before[starts], ends - before[ends]
+        return starts, ends
+
+
+def words_of(texts: list[str | None]) -> Words:
+    """Hashes of all words, found byte-wise for all texts at once (ASCII letters count as lower-case ones)."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join([*parts, b""])
+    buf = np.frombuffer(raw, np.uint8)
+    text_at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    edge = np.diff(SPACE[buf].view(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = ends[ends > starts[0]] if len(starts) else ends[:0]  # the last byte is a break
+    size = ends - starts
+    hashes = runs(BYTES[buf], starts, ends) if len(starts) else np.empty(0, np.uint64)
+    for k in np.flatnonzero(size > LONG_WORD):  # polynomials are weak on very long words
+        hashes[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]].lower())
+    return Words(raw, hashes, starts, ends, np.searchsorted(starts, text_at), text_at)
+
+
+def shingle_batch(texts: list[str | None], k: int) -> list[np.ndarray]:
     """For each text, the sorted distinct 64-bit hashes of its k-word shingles (ASCII letters lower-cased).
 
     Fewer words than k make one shingle; none make none.
     """
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sizes = [len(w) for w in words]
-    flat = np.fromiter(map(seen.__getitem__, itertools.chain.from_iterable(words)), np.uint64, sum(sizes))
-    n = max(0, len(flat) - k + 1)
-    rolled = np.full(n, k, np.uint64)
-    for j in range(k if n else 0):
-        rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + flat[j : j + n])
-    out, at = [], 0
-    for size in sizes:
-        if size >= k:
-            part = np.sort(rolled[at : at + size - k + 1])
+    words = words_of(texts)
+    rolled, out = windows(words.hashes, k), []
+    for t in range(len(texts)):
+        at, end = int(words.first[t]), int(words.first[t + 1])
+        if end - at >= k:
+            part = np.sort(rolled[at : end - k + 1])
             fresh = np.empty(len(part), bool)
             fresh[0] = True
             np.not_equal(part[1:], part[:-1], out=fresh[1:])
             out.append(part[fresh])
-        elif size:
-            h = np.full(1, size, np.uint64)
-            for j in range(size):
-                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + flat[at + j : at + j + 1])
-            out.append(h)
+        elif end > at:
+            out.append(mix64(windows(words.hashes[at:end], end - at) + np.uint64(end - at)))
         else:
             out.append(np.empty(0, np.uint64))
-        at += size
     return out
 
 
+#: Bits of the odd sketch of a set of at most SMALL_SET items, and of a larger one.
+SMALL_SET, BITS, MORE_BITS = 1000, 1024, 4096
+
+
 def parity(items: np.ndarray) -> list[int]:
     """Odd sketch: bit b tells whether an odd number of items fall on b. Sets that differ in d items differ in d bits at most."""
-    bits = 512 if len(items) <= 1000 else 4096
+    bits = BITS if len(items) <= SMALL_SET else MORE_BITS
     odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64).tolist()

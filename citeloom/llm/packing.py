@@ -39,7 +39,7 @@ PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+|
 class Encoder:
     """Token ids of whole texts; ids of pre-tokens are remembered up to a bound, the tokenizer runs on unseen ones only."""
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 200_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(path), np.asarray([END], "<u4").tobytes()
-        for b in slices(batches, 256):
+        for b in slices(batches, 256, 1):
             rows: list[tuple] = []
             for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 ids += end

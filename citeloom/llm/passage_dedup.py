@@ -1,16 +1,21 @@
-"""Passages that repeat across documents: MinHash banding over paragraphs, then runs of words in what is left.
+"""Passages that repeat across documents: MinHash banding over paragraphs, of lines and of runs of words.
 
 A paragraph is a line of a text with `MIN_WORDS` words or more (a passage; headings and footers of a few words are not).
 Equal shingle sets collapse to one entity. MinHash signatures are cut into bands tuned for recall; paragraphs that share
 a band are candidates, verified by exact Jaccard similarity on five-word shingles (see simgraph), and grouped into
 components. Of each component the first paragraph by (doc_id, para) stays, the others are marked for removal.
 
-Line breaks hide passages that are wrapped into short lines, cut differently or lie inside longer lines. So in the texts
-without the removed paragraphs, every run of `RUN` words that occurs in two rows or more is found, wherever it starts:
-each such run contains a common anchor, an `ANCHOR`-word window winnowed by hash (see anchors), so only windows around
-anchors that several rows share are compared, by equality. The first place of a run by (doc_id, place) stays, the others
-are marked; words that also belong to a run that stays are not marked. Such passages have para = -1 - start, and
-n_shingles counts their five-word windows; paragraphs have the number of their line.
+Line breaks hide passages that are wrapped into short lines, cut differently or lie inside longer lines. So every window of
+`RUN` words of a text, whatever its line breaks, is a paragraph, too. Its signature is one band of one MinHash over its
+`ANCHOR`-word shingles: equal windows always collide, and neighbouring windows share most minima, so that a text has few
+(`anchors`). Colliding places are verified against the first place of their key by (doc_id, place): anchors in step with
+it form chains, whose words are equal, and the words around a chain are compared one by one. A chain that so reaches RUN
+words is a passage; it is removed, the first place stays. Anchors whose match is shorter may yet share a run with a third
+row; all windows around them are compared by equality. So every run of RUN words that two rows share meets a passage, and
+what is removed has an equal that stays: each removal points to an earlier row.
+
+Passages of the second kind have para = -1 - start, and n_shingles counts their five-word windows (of those that stay, in the longest copy); paragraphs of the first
+have the number of their line. `row` names a row of the table (rows of equal id and text are numbered).
 
 Defined results: null and empty texts have no paragraphs; equal rows repeat their paragraphs, which are removed but for
 the first; rows of the result exist only for paragraphs that repeat; an empty table gives an empty result.
@@ -18,24 +23,22 @@ the first; rows of the result exist only for paragraphs that repeat; an empty ta
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WordHashes, broadcast_if_small, drop_settled, mix64, parity, read, settle, shingle_batch, slices
-from .jaccard_join import entity
+from .common import Words, broadcast_if_small, drop_settled, mix64, parity, read, settle, slices, windows, words_of
+from .jaccard_join import REMEMBERED, clashes, entity, renamed
 from .simgraph import components, shared_rows
 
 WIDTH, NUM, DEN, MIN_WORDS, RECALL, MOST_HASHES = 5, 80, 100, 30, 0.998, 64
-#: A run of RUN words has RUN - ANCHOR + 1 = ANCHOR windows of ANCHOR words, one of which is winnowed in any text.
+#: A run of RUN words has RUN - ANCHOR + 1 = ANCHOR windows of ANCHOR words, one of which is an anchor in any text.
 RUN, ANCHOR = 51, 26
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+AROUND = RUN - ANCHOR
 
 
 def tune_bands(threshold: float, recall: float, most: int, noise: float = 0.2) -> tuple[int, int]:
@@ -45,13 +48,22 @@ def tune_bands(threshold: float, recall: float, most: int, noise: float = 0.2) -
     return min(((b, r) for r, b in least.items()), key=lambda x: (1 - (1 - noise ** x[1]) ** x[0]) * 40 + x[0])
 
 
-def paragraphs(text: str | None, min_words: int) -> list[tuple[int, int, str]]:
-    """(number, start, line) of the lines with enough words; starts count code points."""
-    out, at = [], 0
-    for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * min_words - 1 and len(line.encode("utf-8", "surrogatepass").split()) >= min_words:
-            out.append((k, at, line))
-        at += len(line) + 1
+def paragraphs(words: Words, width: int, min_words: int) -> list[tuple[int, int, int, int, np.ndarray]]:
+    """(text, line, start, end, set) of the lines with enough words; places count code points, a set is sorted shingles."""
+    buf = np.frombuffer(words.raw, np.uint8)
+    ends = np.flatnonzero(buf == 10)  # every text has its last break
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    first = np.searchsorted(words.starts, np.concatenate([starts, [len(buf)]]))
+    chosen = np.flatnonzero(np.diff(first) >= min_words)
+    if not len(chosen):
+        return []
+    text = np.searchsorted(words.text_at, starts[chosen], "right") - 1
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    base = points[words.text_at[text]]
+    line = chosen - np.searchsorted(starts, words.text_at[text])
+    rolled, out = windows(words.hashes, width), []
+    for k, t, n, a, b in zip(chosen.tolist(), text.tolist(), line.tolist(), (points[starts[chosen]] - base).tolist(), (points[ends[chosen]] - base).tolist(), strict=True):
+        out.append((t, n, a, b, np.unique(rolled[first[k] : first[k + 1] - width + 1])))
     return out
 
 
@@ -72,29 +84,6 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-@functools.lru_cache(1)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """2**bits powers of an odd base modulo 2**64, and of its inverse."""
-    base = 0x9E3779B97F4A7C15
-    both = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        row = np.full(1 << bits, b, np.uint64)
-        row[0] = 1
-        both.append(np.multiply.accumulate(row))
-    return both[0], both[1]
-
-
-def windows(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` words; words are hashes."""
-    n = len(words) - width + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    up, down = powers(max(16, int(len(words)).bit_length()))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix64((total[width:] - total[:n]) * down[:n])
-
-
 def slide(x: np.ndarray, width: int, f) -> np.ndarray:
     """f (minimum or maximum) over each `width` neighbours."""
     span = 1
@@ -113,190 +102,224 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(slide(low, width, np.maximum) == hashes)
 
 
-def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-def spans(at: list[tuple]) -> list[list]:
-    """Unions [start, end, first index, last index] of (start, end) that are sorted by both."""
-    out: list[list] = []
-    for k, (a, b) in enumerate(at):
-        if out and a <= out[-1][1]:
-            out[-1][1], out[-1][3] = b, k
-        else:
-            out.append([a, b, k, k])
-    return out
-
-
-def without(a: int, b: int, gaps: list[list]) -> list[tuple[int, int]]:
-    """The parts of [a, b) outside the sorted gaps."""
-    out = []
-    for g in gaps:
-        if g[1] > a and g[0] < b:
-            if g[0] > a:
-                out.append((a, g[0]))
-            a = max(a, g[1])
-    return [*out, (a, b)] if a < b else out
-
-
-def passages(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of repeats() for runs of RUN words that two rows or more of (doc_id, text, row) share; gone: (row, para) lines to leave out."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
-        for b in slices(batches, 500):
-            keys, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for t, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = windows(word_hashes(t, seen), ANCHOR)
-                found = np.unique(found[anchors(found, RUN - ANCHOR + 1)])
-                keys.append(found)
-                rows.append(np.full(len(found), row, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows))], ["key", "row"])
-
-    marks = settle(docs.select("text", "row").mapInArrow(mark, "key long, row long"))
-    keys = marks.groupBy("key").count().where("count > 1").select("key")
-    wanted = marks.join(keys, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))  # at most a text's anchors
-    lines = gone.groupBy("row").agg(F.collect_set("para").alias("gone"))
-    wanted = settle(wanted.join(lines, "row", "left"))
-    drop_settled(marks)
-    n = wanted.agg(F.sum(F.size("keys"))).first()[0] or 0
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with `row`: a name of (doc_id, text); rows equal in both are numbered, in any order, as nothing tells them apart."""
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    again = settle(docs.groupBy("row").agg(F.count("*").alias("_n")).where("_n > 1").select("row"))
+    n = again.count()
+    if not n:
+        return docs
+    again = broadcast_if_small(again, n)
+    twins = docs.join(again, "row", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("row").orderBy(F.lit(0))))
+    twins = twins.withColumn("row", F.when(F.col("_copy") > 1, F.xxhash64("row", "_copy")).otherwise(F.col("row"))).drop("_copy")
+    return docs.join(again, "row", "left_anti").unionByName(twins).select(*docs.columns)
+
+
+def asked(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """docs with the arrays of ids (row, column); broadcast only if their entries, and so their bytes, are few."""
+    rows, entries = ids.agg(F.count("*"), F.sum(F.size(column))).first()
+    small = rows <= 500_000 and (entries or 0) <= 4_000_000
+    return docs.join(F.broadcast(ids) if small else ids, "row")
+
+
+def chains(hits: DataFrame, reach: int) -> DataFrame:
+    """(row, doc_id, row0, doc0, delta, a, b) of hits (row, doc_id, pos, row0, doc0, pos0): neighbours in step, at most `reach` apart."""
+    hits = hits.withColumn("delta", F.col("pos0") - F.col("pos"))
+    order = W.partitionBy("row", "row0", "delta").orderBy("pos")
+    fresh = F.coalesce(F.col("pos") - F.lag("pos").over(order) > reach, F.lit(True)).cast("int")
+    hits = hits.withColumn("_fresh", fresh).withColumn("_chain", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return hits.groupBy("row", "doc_id", "row0", "doc0", "delta", "_chain").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).drop("_chain")
+
+
+def first_place(of: str) -> Column:
+    """The first by (doc_id, place), rows without id last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", F.col(of).alias("pos"))).alias("lead")
+
+
+def equal_ahead(x: str, y: str) -> Column:
+    """How many leading entries two arrays share."""
+    return F.expr(f"coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> coalesce(p = q, false)), false), 0) - 1, least(size({x}), size({y})))")
+
+
+def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of repeats() for runs of RUN words that two rows or more of (doc_id, text, row) share; marks: (row, doc_id, pos, key)."""
+    lead = marks.groupBy("key").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("key", "lead")
+    hits = marks.join(lead, "key").where("row <> lead.row")
+    hits = settle(hits.select("key", "row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0")))
+    steps = settle(chains(hits, ANCHOR).withColumn("b", F.col("b") + ANCHOR))
+
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Up to AROUND words before a place (side 0) or after it (side 1), nearest first, and the code points where they begin or end."""
+        for b in slices(batches, 200, 0):
+            words, out = words_of(b.column(0).to_pylist()), []
+            for k, (row, wants) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                h = words.hashes[words.of(k)].view(np.int64)
+                starts, ends = words.places(k)
+                for want in wants:
+                    side, at = want % 2, want // 2
+                    to = max(0, at - AROUND) if side == 0 else min(len(h), at + AROUND)
+                    if side == 0:
+                        out.append((row, want, h[to:at][::-1], starts[to : at + 1][::-1]))
+                    else:
+                        out.append((row, want, h[at:to], ends[at - 1 : to]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)], ["row", "want", "near", "place"])
+
+    ends = {"l": ("row", F.col("a") * 2), "l0": ("row0", (F.col("a") + F.col("delta")) * 2), "r": ("row", F.col("b") * 2 + 1), "r0": ("row0", (F.col("b") + F.col("delta")) * 2 + 1)}
+    wants = [steps.select(F.col(row).alias("row"), want.alias("want")) for row, want in ends.values()]
+    wants = settle(wants[0].unionByName(wants[1]).unionByName(wants[2]).unionByName(wants[3]).groupBy("row").agg(F.collect_set("want").alias("wants")))  # at most two a place of a text's anchors
+    seen = settle(asked(docs, wants, "wants").select("text", "row", "wants").mapInArrow(context, "row long, want long, near array<long>, place array<long>"))
+    wide = steps
+    for name, (row, want) in ends.items():
+        side = seen.select(F.col("row").alias("_row"), F.col("want").alias("_want"), F.col("near").alias(f"near_{name}"), F.col("place").alias(f"place_{name}"))
+        wide = wide.join(side, (F.col(row) == F.col("_row")) & (want == F.col("_want"))).drop("_row", "_want")
+    wide = wide.withColumn("_l", equal_ahead("near_l", "near_l0")).withColumn("_r", equal_ahead("near_r", "near_r0"))
+    at = lambda name, n: F.get(f"place_{name}", F.col(n).cast("int"))
+    grown = settle(wide.select("row", "doc_id", "row0", "doc0", "delta", "a", "b", "_l", "_r", at("l", "_l").alias("start"), at("r", "_r").alias("end"), at("l0", "_l").alias("start0"), at("r0", "_r").alias("end0"), (F.col("b") - F.col("a") + F.col("_l") + F.col("_r")).alias("n")))
+    spot = ("row", "doc_id", "start", "end", "wa", "wb", "row0", "doc0", "start0", "end0")
+    spans = grown.where(f"n >= {RUN}").withColumn("wa", F.col("a") - F.col("_l")).withColumn("wb", F.col("b") + F.col("_r")).select(*spot)
+
+    # keys with a shorter match somewhere: all their places, but for those where every window equals the first place's
+    step = hits.withColumn("delta", F.col("pos0") - F.col("pos")).alias("h").join(grown.select("row", "row0", "delta", "a", "b", "_l", "_r", F.col("n").alias("_n")).alias("g"), ["row", "row0", "delta"]).where("pos >= a and pos < b")
+    short = step.where(f"_n < {RUN}").select("key").distinct()
+    whole = step.where(f"pos - {AROUND} >= a - _l and pos + {RUN} <= b + _r").select("row", "pos")
+    open_ = marks.join(short, "key", "left_semi").join(whole, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("wants"))  # at most a text's anchors
+    open_ = settle(open_)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows of RUN words around shared anchors; lead: the first of its kind in a row."""
-        seen = WordHashes()
-        for b in slices(batches, 200):
-            cols: list[list] = [[np.empty(0, kind)] for kind in (np.int64, np.int64, np.int64, np.int64, np.int64, bool)]
+        """All windows of RUN words that hold a wanted anchor."""
+        for b in slices(batches, 200, 1):
+            words = words_of(b.column(1).to_pylist())
+            cols: list[list] = [[np.empty(0, np.int64)] for _ in range(5)]
             owner: list = []
-            for i, t, row, want, out in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = word_hashes(t, seen)
-                short, long = windows(words, ANCHOR), windows(words, RUN)
-                near = np.zeros(len(long) + RUN, np.int64)
-                hit = anchors(short, RUN - ANCHOR + 1)
-                hit = hit[np.isin(short[hit].view(np.int64), np.array(want, np.int64))]
-                np.add.at(near, np.maximum(hit - (RUN - ANCHOR), 0), 1)
-                np.subtract.at(near, hit + 1, 1)
-                place = np.array([m.span() for m in WORDS.finditer(t or "")], np.int64).reshape(-1, 2)
-                good = np.cumsum(near)[: len(long)] > 0
-                if out:
-                    breaks = np.array([m.start() for m in re.finditer("\n", t)], np.int64)
-                    off = np.concatenate([[0], np.cumsum(np.isin(np.searchsorted(breaks, place[:, 0]), np.array(out, np.int64)))])
-                    good &= off[RUN:] == off[: len(long)]
-                pos = np.flatnonzero(good)
-                lead = np.zeros(len(pos), bool)
-                lead[np.unique(long[pos], return_index=True)[1]] = True
-                for col, x in zip(cols, (long[pos].view(np.int64), np.full(len(pos), row, np.int64), pos, place[pos, 0], place[pos + RUN - 1, 1], lead), strict=True):
-                    col.append(x)
+            for k, (i, row, wants) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                long = windows(words.hashes[words.of(k)], RUN).view(np.int64)
+                if not len(long):
+                    continue
+                pos = np.unique(np.concatenate([np.arange(max(0, p - AROUND), min(p + 1, len(long))) for p in wants]))
+                starts, ends = words.places(k)
+                for c, x in zip(cols, (long[pos], np.full(len(pos), row, np.int64), pos, starts[pos], ends[pos + RUN - 1]), strict=True):
+                    c.append(x)
                 owner += [i] * len(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "h", "row", "pos", "start", "end", "lead"])
-
-    ids = F.broadcast(wanted) if n <= 2_000_000 else wanted
-    found = settle(docs.join(ids, "row").select("doc_id", "text", "row", "keys", "gone").mapInArrow(around, "doc_id long, h long, row long, pos long, start long, end long, lead boolean"))
-    group = found.groupBy("h").agg(F.sum(F.col("lead").cast("int")).alias("rows"), F.min(F.struct("doc_id", "row", "start")).alias("first")).where("rows > 1").select("h", "first")
-    hits = found.join(group, "h").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("pos", "start", "end", F.col("first.row").alias("frow"), F.col("first.doc_id").alias("fdoc"), F.col("first.start").alias("fstart"))).alias("hits"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "doc_id", "start", "end", "n", "stays", "copies", "frow", "fdoc", "fstart"]
-        for b in slices(batches, 500):
-            out: list[tuple] = []
-            for row, i, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                once = sorted({(h["pos"], h["start"], h["end"], h["frow"], h["fdoc"], h["fstart"]) for h in hits}, key=lambda h: h[0])
-                copies = len(hits) // len(once)  # rows that are equal in id and text
-                stay = [h for h in once if (h[3], h[5]) == (row, h[1])]
-                rest = [h for h in once if (h[3], h[5]) != (row, h[1])]
-                kept = spans([h[1:3] for h in stay])
-                out.extend((row, i, a, b2, stay[y][0] - stay[x][0] + RUN - 4, True, copies, row, i, a) for a, b2, x, y in kept)
-                for a, b2, x, y in spans([h[1:3] for h in rest]):
-                    out.extend((row, i, p, q, rest[y][0] - rest[x][0] + RUN - 4, False, copies, *rest[x][3:]) for p, q in without(a, b2, kept))
-            cols = list(zip(*out, strict=True)) or [()] * 10
-            kinds = (*[pa.int64()] * 5, pa.bool_(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    rows = settle(hits.select("row", "doc_id", "hits").mapInArrow(merge, "row long, doc_id long, start long, end long, n long, stays boolean, copies long, frow long, fdoc long, fstart long"))
-    drop_settled(found)
-    head = rows.where("stays").select(F.col("row").alias("frow"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    rows = rows.join(head, "frow").where("fstart >= _a and fstart < _b")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "h", "row", "pos", "start", "end"])
+
+    found = settle(asked(docs, open_, "wants").select("doc_id", "text", "row", "wants").mapInArrow(around, "doc_id long, h long, row long, pos long, start long, end long"))
+    lead = found.groupBy("h").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("h", "lead")
+    more = found.join(lead, "h").where("row <> lead.row").select("row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0"))
+    more = settle(chains(more, 1))
+    place = lambda row, pos, name, of: found.select(F.col("row").alias(row), F.col("pos").alias(pos), F.col(of).alias(name))
+    more = more.withColumn("a0", F.col("a") + F.col("delta")).withColumn("b0", F.col("b") + F.col("delta"))
+    for row, pos, name, of in (("row", "a", "start", "start"), ("row", "b", "end", "end"), ("row0", "a0", "start0", "start"), ("row0", "b0", "end0", "end")):
+        more = more.join(place(row, pos, name, of).distinct(), [row, pos])
+    spans = settle(spans.unionByName(more.withColumn("wa", F.col("a")).withColumn("wb", F.col("b") + RUN).select(*spot)).distinct())
+
+    def unions(t: DataFrame, row: str, start: str, end: str) -> DataFrame:
+        """t with `_part`, the same for overlapping spans of a row."""
+        order = W.partitionBy(row).orderBy(start, end)
+        before = F.max(end).over(order.rowsBetween(W.unboundedPreceding, -1))
+        fresh = F.coalesce(F.col(start) >= before, F.lit(True)).cast("int")
+        return t.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_fresh")
+
+    # first places stay, each union of them a component; what goes is in the component of its first part
+    size = (F.max("wb") - F.min("wa") - WIDTH + 1).alias("n_shingles")
+    firsts = spans.groupBy("row0", "doc0", "start0", "end0").agg(F.max(F.col("wb") - F.col("wa")).alias("n"))
+    part = W.partitionBy("row0", "_part")
+    firsts = settle(unions(firsts, "row0", "start0", "end0").withColumn("_a", F.min("start0").over(part)).withColumn("_b", F.max("end0").over(part)))
     name = lambda c: (-1 - F.col(c)).cast("int")
-    return rows.select("doc_id", name("start").alias("para"), "start", "end", F.col("n").alias("n_shingles"), F.col("fdoc").alias("component_doc"), name("_a").alias("component_para"), (~F.col("stays") | (F.col("copy") > 1)).alias("removed"))
+    stay = firsts.groupBy("row0", "doc0", "_a", "_b").agg((F.max("n") - WIDTH + 1).alias("n_shingles"))
+    stay = stay.select(F.col("doc0").alias("doc_id"), F.col("row0").alias("row"), name("_a").alias("para"), F.col("_a").alias("start"), F.col("_b").alias("end"), "n_shingles", F.col("doc0").alias("component_doc"), name("_a").alias("component_para"), F.lit(False).alias("removed"))
+    gone = unions(spans, "row", "start", "end").join(firsts.select("row0", "start0", "end0", "_a"), ["row0", "start0", "end0"])
+    head = F.min(F.struct("start", "doc0", "_a")).alias("head")
+    gone = gone.groupBy("doc_id", "row", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), size, head)
+    gone = gone.select("doc_id", "row", name("start").alias("para"), "start", "end", "n_shingles", F.col("head.doc0").alias("component_doc"), name("head._a").alias("component_para"), F.lit(True).alias("removed"))
+    out = settle(stay.unionByName(gone))
+    drop_settled(hits, steps, wants, seen, grown, open_, found, more, spans, firsts)
+    return out
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, para, start, end, n_shingles, component_doc, component_para, removed: a row for each repeated paragraph."""
-    docs = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").withColumn("row", F.xxhash64("doc_id", "text"))
+    """doc_id, row, para, start, end, n_shingles, component_doc, component_para, removed: a row for each repeated paragraph."""
+    docs = numbered(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"))
     bands, rows = tune_bands(num / den, RECALL, MOST_HASHES)
 
-    def cut(batch: pa.RecordBatch, seen: WordHashes):
-        owner, found = [], []
-        for i, t, row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "row")), strict=True):
-            for p in paragraphs(t, min_words):
-                owner.append((i, row))
-                found.append(p)
-        return owner, found, shingle_batch([p[2] for p in found], width, seen)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Places of all paragraphs; band keys and sketch at the first of equal sets within a partition."""
-        seen, own = WordHashes(), set()
-        for b in slices(batches, 500):
-            owner, found, sets = cut(b, seen)
-            ents, first = [entity(s) for s in sets], []
-            for k, ent in enumerate(ents):
+        """Places of all paragraphs, with band keys and sketch at the first of equal sets within a partition; for each text its anchors (para null)."""
+        own: set[int] = set()
+        for b in slices(batches, 500, 1):
+            ids, names = b.column(0).to_pylist(), b.column(2).to_pylist()
+            words = words_of(b.column(1).to_pylist())
+            lines = paragraphs(words, width, min_words)
+            ents, first = [entity(x[4]) for x in lines], []
+            for k, (ent, _) in enumerate(ents):
                 if ent not in own:
-                    if len(own) < 500_000:  # beyond that, copies give their keys again
+                    if len(own) < REMEMBERED:
                         own.add(ent)
                     first.append(k)
-            keys, odd = [None] * len(sets), [None] * len(sets)
-            for k, row in zip(first, band_keys([sets[k] for k in first], bands, rows).view(np.int64).tolist(), strict=True):
-                keys[k], odd[k] = row, parity(sets[k])
-            cols = [pa.array([o[0] for o in owner], pa.int64()), pa.array([o[1] for o in owner], pa.int64()), pa.array([p[0] for p in found], pa.int32()), pa.array([p[1] for p in found], pa.int64()), pa.array([p[1] + len(p[2]) for p in found], pa.int64())]
-            cols += [pa.array(ents, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "para", "start", "end", "ent", "n", "keys", "odd"])
-
-    both = settle(docs.mapInArrow(scan, "doc_id long, row long, para int, start long, end long, ent long, n long, keys array<long>, odd array<long>"))
-    table = both.select("doc_id", "row", "para", "start", "end", "ent", "n")
-    signed = both.where("keys is not null").select("keys", "ent", F.col("n").cast("int").alias("n"), "odd")
+            keys, odd = [None] * len(lines), [None] * len(lines)
+            for k, row in zip(first, band_keys([lines[k][4] for k in first], bands, rows).view(np.int64), strict=True):
+                keys[k], odd[k] = row, parity(lines[k][4])
+            short = windows(words.hashes, ANCHOR)
+            marks = []
+            for k in range(b.num_rows):
+                at = words.of(k)
+                part = short[at.start : max(at.start, at.stop - ANCHOR + 1)]
+                pos = anchors(part, AROUND + 1)
+                if len(pos):
+                    marks.append((ids[k], names[k], part[pos].view(np.int64), pos))
+            size = len(marks)
+            cols = [[*(ids[x[0]] for x in lines), *(m[0] for m in marks)], [*(names[x[0]] for x in lines), *(m[1] for m in marks)], [*(x[1] for x in lines), *[None] * size], [*(x[2] for x in lines), *[None] * size], [*(x[3] for x in lines), *[None] * size]]
+            cols += [[*(e[0] for e in ents), *[None] * size], [*(e[1] for e in ents), *[None] * size], [*(len(x[4]) for x in lines), *[None] * size], [*keys, *(m[2] for m in marks)], [*odd, *(m[3] for m in marks)]]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "row", "para", "start", "end", "ent", "check", "n", "keys", "odd"])
+
+    both = settle(docs.mapInArrow(scan, "doc_id long, row long, para int, start long, end long, ent long, check long, n long, keys array<long>, odd array<long>"))
+    table = both.where("para is not null").drop("keys", "odd")
+    clashing = clashes(table)
+    lines = both.where("para is not null")
+    if clashing:
+        bad, again = F.col("ent").isin(*clashing), F.udf(renamed, "long")  # a handful of rows
+        lines = lines.where(~bad).unionByName(lines.where(bad).withColumn("ent", again("ent", "check")))
+    table = lines.select("doc_id", "row", "para", "start", "end", "ent", "n")
+    signed = lines.where("keys is not null").select("keys", "ent", F.col("n").cast("int").alias("n"), "odd")
     shared = shared_rows(signed.select(F.explode("keys").alias("key"), "ent", "n"))
     wanted = shared.select("ent").distinct()
     entities = signed.join(wanted, "ent").groupBy("ent").agg(F.first("n").alias("n"), F.first("odd").alias("odd"))
     places = table.join(wanted, "ent").groupBy("ent").agg(F.min("row").alias("row"))
     entities = settle(entities.join(places, "ent").select("ent", "n", "odd", "row"))
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500, 0):
+            want, out = [set(x) for x in b.column(1).to_pylist()], {}
+            for x in paragraphs(words_of(b.column(0).to_pylist()), width, min_words):
+                if (ent := entity(x[4], clashing)[0]) in want[x[0]]:
+                    out[ent] = x[4].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], ["ent", "items"])
+
     def fetch(wanted: DataFrame) -> DataFrame:
         ids = settle(entities.join(wanted, "ent").groupBy("row").agg(F.collect_set("ent").alias("ents")))  # at most a text's paragraphs
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = WordHashes()
-            for b in slices(batches, 500):
-                ask = b.column(3).to_pylist()
-                out = [(ent, s.tobytes()) for k in range(b.num_rows) for s in cut(b.slice(k, 1), seen)[2] if (ent := entity(s)) in ask[k]]
-                out = list(dict(out).items())
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["ent", "items"])
-
-        chosen = docs.join(broadcast_if_small(ids, ids.count()), "row").select("doc_id", "text", "row", "ents")
-        return chosen.mapInArrow(whole, "ent long, items binary")
+        return asked(docs, ids, "ents").select("text", "ents").mapInArrow(whole, "ent long, items array<long>")
 
     roots = components(shared, entities, fetch, num, den)
     named = table.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("_root", F.coalesce("root", "ent"))
     named = settle(named.drop("root", "ent"))
-    group = named.groupBy("_root").agg(F.count("*").alias("_n"), F.min(F.struct("doc_id", "para")).alias("_first")).where("_n > 1")
-    out = named.join(group, "_root").withColumn("component_doc", F.col("_first.doc_id")).withColumn("component_para", F.col("_first.para"))
-    # rows that repeat an id hold the first paragraph twice; one of them stays
-    firsts = out.where(F.struct("doc_id", "para") == F.col("_first"))
-    again = F.row_number().over(W.partitionBy("doc_id", "para").orderBy("start")) > 1
-    rest = out.where(F.struct("doc_id", "para") != F.col("_first")).withColumn("removed", F.lit(True))
-    out = settle(firsts.withColumn("removed", again).unionByName(rest).withColumn("first", F.struct("doc_id", "para") == F.col("_first")))
-    more = passages(docs, out.where("not first").select("row", "para"))
-    return out.select("doc_id", "para", "start", "end", F.col("n").alias("n_shingles"), "component_doc", "component_para", "removed").unionByName(more)
+    place = F.struct("doc_id", "para", "row")
+    group = named.groupBy("_root").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    out = named.join(group, "_root").select("doc_id", "row", "para", "start", "end", F.col("n").alias("n_shingles"), F.col("_first.doc_id").alias("component_doc"), F.col("_first.para").alias("component_para"), (place != F.col("_first")).alias("removed"))
+    marks = both.where("para is null").select("row", "doc_id", F.explode(F.arrays_zip("keys", "odd")).alias("m")).select("row", "doc_id", F.col("m.odd").alias("pos"), F.col("m.keys").alias("key"))
+    return out.unionByName(passages(docs, marks))
 
 
 def strip(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the lines and passages that repeats() marks as removed; other columns stay."""
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "para"))).alias("_gone"))
+    """docs without the lines and passages that repeats() marks as removed; other columns stay. Only the marked row loses them."""
+    gone = found.where("removed").groupBy(F.col("row").alias("_gone_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "para"))).alias("_gone"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("_all")))
     # a line goes with its line break, or with the one before if it is the last
-    cut = F.expr("""aggregate(_gone, struct('' as s, 0L as at), (a, g) -> struct(
-        concat(a.s, substring(text, int(a.at) + 1, greatest(0, int(g.start - a.at) - if(g.para >= 0 and g.end = length(text), 1, 0)))) as s,
-        greatest(a.at, g.end + if(g.para >= 0, 1L, 0L)) as at), a -> concat(a.s, substring(text, int(a.at) + 1)))""")
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    cut = F.expr("""aggregate(_gone, struct(array('') as s, 0L as at), (a, g) -> struct(
+        concat(a.s, array(substring(text, int(a.at) + 1, greatest(0, int(g.start - a.at) - if(g.para >= 0 and g.end = length(text), 1, 0))))) as s,
+        greatest(a.at, g.end + if(g.para >= 0, 1L, 0L)) as at), a -> array_join(concat(a.s, array(substring(text, int(a.at) + 1))), ''))""")
+    left = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)
+    out = rows.join(gone, F.col("row") == F.col("_gone_row"), "left").withColumn("_left", left)
+    return out.select(*(F.col("_left").alias(c) if c == "text" else F.col("_all")[c].alias(c) for c in docs.columns))
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

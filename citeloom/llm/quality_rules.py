@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read, slices
 
@@ -149,7 +150,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 2000, 1):
             out: dict[str, list] = {c: [] for c in (*counts, "base_failed", "kept", "rejected_by")}
             for t in b.column(1).to_pylist():
                 doc = measure(t)
@@ -168,19 +169,18 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns, judged where they lie (no join back)."""
+    """The documents that pass, with all their columns; only texts go to Python, only verdicts come back."""
     rules = plan_cascade(docs)
-    cols = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            mask = []
-            for t in b.column(cols.index("text")).to_pylist():
-                doc = measure(t)
-                mask.append(not base_failed(doc) and not any(r.rejects(doc) for r in rules))
-            yield b.filter(pa.array(mask, pa.bool_()))
+    def passes(texts: pa.Array) -> pa.Array:
+        mask = []
+        for k in range(len(texts)):
+            doc = measure(texts[k].as_py())
+            mask.append(not base_failed(doc) and not any(r.rejects(doc) for r in rules))
+        return pa.array(mask, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    verdict = F.arrow_udf(passes, "boolean")
+    return docs.where(verdict(F.col("text")))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,16 @@
 """Exact similarity links and connected components behind a candidate index.
 
 An index row (key, ent, n) says that the set `ent` of size n stands under `key`; any two sets that may link share a key.
-All-pairs work inside a key is avoided in rounds: each key names a leader of its own, members are verified against it, and what
-links is contracted, so that only keys that still span several components go on. Whatever star rounds leave is compared
-across components, never inside one. Links, labels and components stay distributed; each step is written to the shared
+Sets under a key are not joined all with all:
+
+- Keys of more than `block` sets go through star rounds: each key names a leader, its members are verified against it, and
+  what links is contracted. Rounds go on as long as they link anything and such keys still span several components.
+- Keys of more than `crowd` sets are then compared in tiles of at most 2 * block rows, by sketches that cannot miss a link.
+  A tile gives a forest of the likeliest pairs, which joins what its near pairs join with fewer rows than it has sets; when
+  these are verified and contracted, the near pairs that still span two components follow.
+- Small keys meet by an equi-join, across components only.
+
+Pairs are verified on the whole sets. Links, labels and components stay distributed; each step is written to the shared
 folder, so a lost executor repeats one step.
 """
 
@@ -16,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, settle
+from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, settle, shuffle_partitions
+
+CROWD, BLOCK, STARS = 16, 2048, 8
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -51,41 +60,97 @@ def shared_rows(index: DataFrame) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, linked): den * intersection >= num * union, counted on the whole sets (uint64 bytes, sorted)."""
+def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[np.ndarray], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Positions of pairs of a tile that may link: side 1 meets side 2, side 3 both; across components only.
+
+    forest: of the pairs between two components that earlier pairs have not joined, the one of the closest sketches.
+    """
+    words = BITS // 64
+    fold = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in odd]).view(np.uint64)
+    large = size > SMALL_SET
+    at = np.cumsum(large) - 1
+    whole = np.array([odd[k] for k in np.flatnonzero(large)]).view(np.uint64) if large.any() else None
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    label = np.unique(comp, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for k in range(0, len(left), 32):
+        i = left[k : k + 32]
+        apart = np.bitwise_count(fold[i, None, :] ^ fold[None, right, :]).sum(2, dtype=np.int64)
+        if whole is not None:
+            p, q = np.flatnonzero(large[i]), np.flatnonzero(large[right])
+            if len(p) and len(q):
+                for x in p:
+                    apart[x, q] = np.bitwise_count(whole[at[i[x]]] ^ whole[at[right[q]]]).sum(1, dtype=np.int64)
+        n, m = size[i, None], size[None, right]
+        ok = (apart * (den + num) <= (n + m) * (den - num)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (label[i, None] != label[None, right])
+        for x in np.flatnonzero(ok.any(1)):
+            a, near = i[x], np.flatnonzero(ok[x])
+            if forest:
+                near = near[label[right[near]] != label[a]]
+                near = near[np.argsort(apart[x, near], kind="stable")]
+                kinds, first = np.unique(label[right[near]], return_index=True)
+                near = near[first]
+                label[np.isin(label, kinds)] = label[a]
+            out.extend((int(a), int(b)) for b in right[near])
+    return out
+
+
+def crowded_pairs(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """(a, b) of rows (key, tile, side, ent, n, comp, odd), which are dealt by key and tile; groups of one task pass one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
         for b in batches:
-            out = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                out.append(den * same >= num * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+            t = pa.Table.from_batches([b] if rest is None else [*rest, b]).combine_chunks()
+            key, tile = (t.column(c).to_numpy() for c in ("key", "tile"))
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
+            if len(cut):
+                yield from groups(t.slice(0, int(cut[-1])), [0, *cut.tolist()])
+                t = t.slice(int(cut[-1]))
+            rest = t.to_batches()
+        if rest:
+            t = pa.Table.from_batches(rest)
+            yield from groups(t, [0, t.num_rows])
+
+    def groups(t: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        size, comp, side, ent = (t.column(c).to_numpy() for c in ("n", "comp", "side", "ent"))
+        for lo, hi in zip(at, at[1:], strict=False):
+            odd = [x.values.to_numpy() for x in t.column("odd").slice(lo, hi - lo)]
+            found = near_pairs(size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi], odd, num, den, forest)
+            if found:
+                x = ent[lo:hi][np.array(found)]
+                x.sort(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
+    return dealt.mapInArrow(run, "a long, b long")
 
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, linked): den * intersection >= num * union, counted on the whole sets."""
     one = sets.select(F.col("ent").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("ent").alias("b"), F.col("items").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean").distinct()
+    same = F.size(F.array_intersect("x", "y"))
+    linked = den * same >= num * (F.size("x") + F.size("y") - same)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", linked.alias("linked")).distinct()
 
 
-def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, crowd: int = 16, stars: int = 2) -> DataFrame:
+def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFrame], DataFrame], num: int, den: int, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """(node, root) over sets that link with another, at Jaccard similarity num/den or more.
 
     `shared` comes from shared_rows(); `entities` has (ent, n, odd), odd a parity sketch; fetch(table of ent) gives (ent,
     items) for those sets. A pair goes to the exact count only if its sketches allow the similarity: sets that differ in
-    d items differ in d bits at most, so this test drops no link. Keys of more than `crowd` sets first go through `stars` star
-    rounds, which join most of a group of near copies; then each key is compared across the components left in it.
+    d items differ in d bits at most, so this test drops no link.
     """
-    state = settle(shared.withColumn("comp", F.col("ent")))
-    done, links = None, None
+    state = shared.withColumn("comp", F.col("ent"))
+    done, links, owned = None, None, []
     sizes = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
     one = entities.select(F.col("ent").alias("a"), F.col("n").alias("na"), F.col("odd").alias("x"))
     two = entities.select(F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("y"))
     near = F.expr(f"size(x) <> size(y) or aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) * {den + num} <= (na + nb) * {den - num}")
 
     def verify(pairs: DataFrame) -> bool:
+        """Whether new links are found."""
         nonlocal done, links
         pairs = pairs.distinct()
         if done is not None:
@@ -95,6 +160,7 @@ def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFram
             return False
         sets = fetch(close.select(F.col("a").alias("ent")).unionByName(close.select(F.col("b").alias("ent"))).distinct())
         seen = settle(verified(close, sets, num, den))
+        drop_settled(close)
         done = seen.select("a", "b") if done is None else done.unionByName(seen.select("a", "b"))
         new = seen.where("linked").select("a", "b")
         if new.isEmpty():
@@ -104,32 +170,48 @@ def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFram
 
     def contract(state: DataFrame) -> DataFrame:
         """New components; keys that lie within one are done with."""
+        nonlocal owned
         roots = connected(links).withColumnRenamed("node", "ent")
         now = settle(state.drop("comp").join(roots, "ent", "left").withColumn("comp", F.coalesce("root", "ent")).drop("root"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
         out = settle(now.join(open_keys, "key", "left_semi"))
-        drop_settled(state, now)
+        drop_settled(now, *owned)
+        owned = [out]
         return out
 
-    for k in range(stars):
+    for k in range(STARS):
         lead = F.min(F.struct(F.xxhash64("ent", "key", F.lit(k)).alias("h"), "ent", "n", "comp")).alias("lead")
-        leader = state.groupBy("key").agg(F.count("*").alias("c"), lead).where(F.col("c") > crowd)
-        leader = leader.select("key", F.col("lead.ent").alias("a0"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("lead_comp"))
-        met = state.join(leader, "key").where("comp <> lead_comp").where(sizes)
+        leader = state.groupBy("key").agg(F.count("*").alias("c"), lead).where(F.col("c") > block)
+        leader = settle(leader.select("key", F.col("lead.ent").alias("a0"), F.col("lead.n").alias("m"), F.col("lead.comp").alias("lead_comp")))
+        if leader.isEmpty():
+            break
+        met = state.join(broadcast_if_small(leader, leader.count(), 100_000), "key").where("comp <> lead_comp").where(sizes)
         if not verify(met.select(F.least("a0", "ent").alias("a"), F.greatest("a0", "ent").alias("b"))):
             break
         state = contract(state)
-    # small keys meet directly; in crowded ones the sketches are part of the join, so that only near pairs leave it
-    crowded = settle(state.groupBy("key").count().where(F.col("count") > crowd).select("key"))
-    names = [f"o{k}" for k in range(8)]
-    wide = state.join(crowded, "key", "left_semi").join(entities.select("ent", *(F.col("odd")[k].alias(c) for k, c in enumerate(names))), "ent")
-    bits = " + ".join(f"bit_count({c} ^ r{c})" for c in names)
-    alike = F.expr(f"n > 1000 or m > 1000 or ({bits}) * {den + num} <= (n + m) * {den - num}")
-    for rows, also in ((state.join(crowded, "key", "left_anti"), None), (wide, alike)):
-        extra = names if also is not None else []
-        left = rows.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"), *extra)
-        right = rows.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"), *(F.col(c).alias(f"r{c}") for c in extra))
-        met = left.join(right, "key").where("c0 < c1").where(sizes)
-        met = met if also is None else met.where(also)
-        verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
+
+    for forest in (True, False):
+        crowded = settle(state.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > crowd))
+        if crowded.isEmpty():
+            break
+        blocks = F.ceil(F.col("c") / block)
+        wide = state.join(broadcast_if_small(crowded.select("key", blocks.alias("blocks")), crowded.count(), 500_000), "key")
+        own = F.pmod(F.xxhash64("ent"), F.col("blocks"))
+        # a key of one block is one tile; in others, what lies outside the largest component meets all blocks
+        part = wide.where("blocks > 1").groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("_big"))
+        many = wide.where("blocks > 1").join(part, "key").withColumn("_own", own)
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        ask = many.where("comp <> _big.comp").withColumn("_to", F.explode(every)).withColumn("tile", F.col("_own") * F.col("blocks") + F.col("_to")).withColumn("side", F.lit(1))
+        base = many.withColumn("_to", F.explode(every)).withColumn("tile", F.col("_to") * F.col("blocks") + F.col("_own")).withColumn("side", F.lit(2))
+        cols = ["key", "tile", "side", "ent", "n", "comp"]
+        tiles = wide.where("blocks = 1").withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(3)).select(*cols)
+        tiles = tiles.unionByName(ask.select(*cols)).unionByName(base.select(*cols)).join(entities.select("ent", "odd"), "ent")
+        if verify(crowded_pairs(tiles, num, den, forest)):
+            state = contract(state)
+    small = state.groupBy("key").count().where(F.col("count") <= crowd).select("key")
+    rows = settle(state.join(small, "key", "left_semi"))
+    left = rows.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"))
+    right = rows.select("key", F.col("ent").alias("b0"), F.col("n").alias("m"), F.col("comp").alias("c1"))
+    met = left.join(right, "key").where("c0 < c1").where(sizes)
+    verify(met.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")))
     return connected(links) if links is not None else shared.sparkSession.createDataFrame([], "node long, root long")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 from citeloom.llm import html_text, jaccard_join, passage_dedup, pii, quality_rules
 from citeloom.llm.common import read
@@ -40,7 +41,7 @@ def test_passages_against_all_runs(spark):
         (marked if r.removed else stays)[r.doc_id].append((r.start, r.end))
     where = collections.defaultdict(list)
     for i in sorted(texts):
-        at = [m.span() for m in passage_dedup.WORDS.finditer(texts[i] or "")]
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[i] or "")]
         words = (texts[i] or "").encode().lower().split()
         for k in range(len(words) - 50):
             where[tuple(words[k : k + 51])].append((i, at[k][0], at[k + 50][1]))
