@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -53,6 +54,12 @@ def drop_settled(*tables: DataFrame) -> None:
                 target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then does Spark delete the shuffle files of steps that are over."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """Broadcast only below a row limit that was checked; larger sides shuffle."""
     return F.broadcast(df) if rows <= limit else df

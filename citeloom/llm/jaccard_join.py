@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_settled, parity, read, settle, shingle_batch, slices
+from .common import broadcast_if_small, drop_settled, parity, read, release, settle, shingle_batch, slices
 from .simgraph import components, shared_rows
 
 WIDTH, NUM, DEN = 4, 85, 100
@@ -178,6 +178,7 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
     named = table.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("_root", F.coalesce("root", "ent"))
     named = settle(named.select("doc_id", F.col("n").alias("n_shingles"), "_root"))
     drop_settled(shared, entities, roots, table)
+    release(spark)
     first = named.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     out = named.join(first, "_root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("_first", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

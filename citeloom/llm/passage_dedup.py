@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, broadcast_if_small, drop_settled, mix64, parity, read, settle, slices, windows, words_of
+from .common import Words, broadcast_if_small, drop_settled, mix64, parity, read, release, settle, slices, windows, words_of
 from .jaccard_join import REMEMBERED, clashes, entity, renamed
 from .simgraph import components, shared_rows
 
@@ -136,67 +136,90 @@ def first_place(of: str) -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", F.col(of).alias("pos"))).alias("lead")
 
 
-def equal_ahead(x: str, y: str) -> Column:
-    """How many leading entries two arrays share."""
-    return F.expr(f"coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> coalesce(p = q, false)), false), 0) - 1, least(size({x}), size({y})))")
-
-
 def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows of repeats() for runs of RUN words that two rows or more of (doc_id, text, row) share; marks: (row, doc_id, pos, key)."""
+    spark = docs.sparkSession
     lead = marks.groupBy("key").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("key", "lead")
     hits = marks.join(lead, "key").where("row <> lead.row")
     hits = settle(hits.select("key", "row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0")))
-    steps = settle(chains(hits, ANCHOR).withColumn("b", F.col("b") + ANCHOR))
+    steps = settle(chains(hits, ANCHOR).withColumn("b", F.col("b") + ANCHOR).withColumn("_l", (F.col("a") + F.col("delta")) * 2).withColumn("_r", (F.col("b") + F.col("delta")) * 2 + 1))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Up to AROUND words before a place (side 0) or after it (side 1), nearest first, and the code points where they begin or end."""
+        """Up to AROUND words before a place (even want) or after it (odd), nearest first, and the code points where they begin or end."""
         for b in slices(batches, 200, 0):
             words, out = words_of(b.column(0).to_pylist()), []
             for k, (row, wants) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                h = words.hashes[words.of(k)].view(np.int64)
-                starts, ends = words.places(k)
+                h, (starts, ends) = words.hashes[words.of(k)].astype(np.uint32), words.places(k)
                 for want in wants:
-                    side, at = want % 2, want // 2
-                    to = max(0, at - AROUND) if side == 0 else min(len(h), at + AROUND)
-                    if side == 0:
-                        out.append((row, want, h[to:at][::-1], starts[to : at + 1][::-1]))
+                    at = want // 2
+                    if want % 2:
+                        out.append((row, want, h[at : at + AROUND].tobytes(), ends[at - 1 : at + AROUND]))
                     else:
-                        out.append((row, want, h[at:to], ends[at - 1 : to]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                        to = max(0, at - AROUND)
+                        out.append((row, want, h[to:at][::-1].tobytes(), starts[to : at + 1][::-1]))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 4, kinds, strict=True)], ["row", "want", "near", "place"])
 
-    ends = {"l": ("row", F.col("a") * 2), "l0": ("row0", (F.col("a") + F.col("delta")) * 2), "r": ("row", F.col("b") * 2 + 1), "r0": ("row0", (F.col("b") + F.col("delta")) * 2 + 1)}
-    wants = [steps.select(F.col(row).alias("row"), want.alias("want")) for row, want in ends.values()]
-    wants = settle(wants[0].unionByName(wants[1]).unionByName(wants[2]).unionByName(wants[3]).groupBy("row").agg(F.collect_set("want").alias("wants")))  # at most two a place of a text's anchors
-    seen = settle(asked(docs, wants, "wants").select("text", "row", "wants").mapInArrow(context, "row long, want long, near array<long>, place array<long>"))
-    wide = steps
-    for name, (row, want) in ends.items():
-        side = seen.select(F.col("row").alias("_row"), F.col("want").alias("_want"), F.col("near").alias(f"near_{name}"), F.col("place").alias(f"place_{name}"))
-        wide = wide.join(side, (F.col(row) == F.col("_row")) & (want == F.col("_want"))).drop("_row", "_want")
-    wide = wide.withColumn("_l", equal_ahead("near_l", "near_l0")).withColumn("_r", equal_ahead("near_r", "near_r0"))
-    at = lambda name, n: F.get(f"place_{name}", F.col(n).cast("int"))
-    grown = settle(wide.select("row", "doc_id", "row0", "doc0", "delta", "a", "b", "_l", "_r", at("l", "_l").alias("start"), at("r", "_r").alias("end"), at("l0", "_l").alias("start0"), at("r0", "_r").alias("end0"), (F.col("b") - F.col("a") + F.col("_l") + F.col("_r")).alias("n")))
+    wants = steps.select(F.col("row0").alias("row"), F.explode(F.array("_l", "_r")).alias("want")).distinct()
+    wants = settle(wants.groupBy("row").agg(F.collect_set("want").alias("wants")))  # at most two for each anchor of a text
+    seen = settle(asked(docs, wants, "wants").select("text", "row", "wants").mapInArrow(context, "row long, want long, near binary, place array<long>"))
+    places = seen.count()
+
+    def beside(t: DataFrame, *columns: str) -> DataFrame:
+        """t with columns of seen for both ends of a chain, at its first place."""
+        for side in ("_l", "_r"):
+            end = seen.select(F.col("row").alias("row0"), F.col("want").alias(side), *(F.col(c).alias(c + side) for c in columns))
+            t = t.join(broadcast_if_small(end, places, 200_000), ["row0", side])
+        return t
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many words around a chain are equal to those around its first place (l, r), and where in the text it then lies."""
+        names = ["row", "doc_id", "row0", "doc0", "delta", "a", "b", "l", "r", "start", "end"]
+        for b in slices(batches, 200, 2):
+            words, out = words_of(b.column(2).to_pylist()), []
+            for k, (row, i, each) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 3)), strict=True)):
+                h, (starts, ends) = words.hashes[words.of(k)].astype(np.uint32), words.places(k)
+                for c in each:
+                    x, y = c["a"], c["b"]
+                    left, right = np.frombuffer(c["near_l"], np.uint32), np.frombuffer(c["near_r"], np.uint32)
+                    grown = []
+                    for own, other in ((h[max(0, x - AROUND) : x][::-1], left), (h[y : y + AROUND], right)):
+                        n = min(len(own), len(other))
+                        off = np.flatnonzero(own[:n] != other[:n])
+                        grown.append(int(off[0]) if len(off) else n)
+                    out.append((row, i, c["row0"], c["doc0"], c["delta"], x, y, *grown, int(starts[x - grown[0]]), int(ends[y + grown[1] - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 11], names)
+
+    wide = beside(steps, "near").groupBy("row").agg(F.collect_list(F.struct("row0", "doc0", "delta", "a", "b", "near_l", "near_r")).alias("each"))  # at most a text's anchors
+    rows = steps.select("row").distinct()
+    some = docs.join(broadcast_if_small(settle(rows), rows.count()), "row", "left_semi")
+    grown = some.join(wide, "row").select("row", "doc_id", "text", "each").mapInArrow(compare, ", ".join(f"{c} long" for c in ("row", "doc_id", "row0", "doc0", "delta", "a", "b", "l", "r", "start", "end")))
+    grown = settle(grown.withColumn("n", F.col("b") - F.col("a") + F.col("l") + F.col("r")))
     spot = ("row", "doc_id", "start", "end", "wa", "wb", "row0", "doc0", "start0", "end0")
-    spans = grown.where(f"n >= {RUN}").withColumn("wa", F.col("a") - F.col("_l")).withColumn("wb", F.col("b") + F.col("_r")).select(*spot)
+    spans = grown.where(f"n >= {RUN}").withColumn("_l", (F.col("a") + F.col("delta")) * 2).withColumn("_r", (F.col("b") + F.col("delta")) * 2 + 1)
+    at = lambda side, n: F.get(f"place_{side}", F.col(n).cast("int"))
+    spans = beside(spans, "place").withColumn("start0", at("l", "l")).withColumn("end0", at("r", "r"))
+    spans = spans.withColumn("wa", F.col("a") - F.col("l")).withColumn("wb", F.col("b") + F.col("r")).select(*spot)
 
     # keys with a shorter match somewhere: all their places, but for those where every window equals the first place's
-    step = hits.withColumn("delta", F.col("pos0") - F.col("pos")).alias("h").join(grown.select("row", "row0", "delta", "a", "b", "_l", "_r", F.col("n").alias("_n")).alias("g"), ["row", "row0", "delta"]).where("pos >= a and pos < b")
+    step = hits.withColumn("delta", F.col("pos0") - F.col("pos")).alias("h").join(grown.select("row", "row0", "delta", "a", "b", "l", "r", F.col("n").alias("_n")).alias("g"), ["row", "row0", "delta"]).where("pos >= a and pos < b")
     short = step.where(f"_n < {RUN}").select("key").distinct()
-    whole = step.where(f"pos - {AROUND} >= a - _l and pos + {RUN} <= b + _r").select("row", "pos")
+    whole = step.where(f"pos - {AROUND} >= a - l and pos + {RUN} <= b + r").select("row", "pos")
     open_ = marks.join(short, "key", "left_semi").join(whole, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("wants"))  # at most a text's anchors
     open_ = settle(open_)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All windows of RUN words that hold a wanted anchor."""
+        """The windows of RUN words that have a wanted anchor as their minimum."""
         for b in slices(batches, 200, 1):
             words = words_of(b.column(1).to_pylist())
             cols: list[list] = [[np.empty(0, np.int64)] for _ in range(5)]
             owner: list = []
             for k, (i, row, wants) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                long = windows(words.hashes[words.of(k)], RUN).view(np.int64)
-                if not len(long):
-                    continue
-                pos = np.unique(np.concatenate([np.arange(max(0, p - AROUND), min(p + 1, len(long))) for p in wants]))
+                own = words.hashes[words.of(k)]
+                long, short = windows(own, RUN).view(np.int64), windows(own, ANCHOR)
+                low = slide(short, AROUND + 1, np.minimum)
+                pos = [np.arange(max(0, p - AROUND), min(p + 1, len(long))) for p in wants]
+                pos = np.unique(np.concatenate([x[low[x] == short[p]] for x, p in zip(pos, wants, strict=True)]))
                 starts, ends = words.places(k)
                 for c, x in zip(cols, (long[pos], np.full(len(pos), row, np.int64), pos, starts[pos], ends[pos + RUN - 1]), strict=True):
                     c.append(x)
@@ -234,6 +257,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     gone = gone.select("doc_id", "row", name("start").alias("para"), "start", "end", "n_shingles", F.col("head.doc0").alias("component_doc"), name("head._a").alias("component_para"), F.lit(True).alias("removed"))
     out = settle(stay.unionByName(gone))
     drop_settled(hits, steps, wants, seen, grown, open_, found, more, spans, firsts)
+    release(spark)
     return out
 
 
@@ -300,13 +324,18 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
         return asked(docs, ids, "ents").select("text", "ents").mapInArrow(whole, "ent long, items array<long>")
 
     roots = components(shared, entities, fetch, num, den)
+    release(docs.sparkSession)
     named = table.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("_root", F.coalesce("root", "ent"))
     named = settle(named.drop("root", "ent"))
     place = F.struct("doc_id", "para", "row")
     group = named.groupBy("_root").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
     out = named.join(group, "_root").select("doc_id", "row", "para", "start", "end", F.col("n").alias("n_shingles"), F.col("_first.doc_id").alias("component_doc"), F.col("_first.para").alias("component_para"), (place != F.col("_first")).alias("removed"))
     marks = both.where("para is null").select("row", "doc_id", F.explode(F.arrays_zip("keys", "odd")).alias("m")).select("row", "doc_id", F.col("m.odd").alias("pos"), F.col("m.keys").alias("key"))
-    return out.unionByName(passages(docs, marks))
+    out = settle(out)
+    drop_settled(named, roots, entities, shared)
+    more = passages(docs, marks)
+    drop_settled(both)
+    return out.unionByName(more)
 
 
 def strip(docs: DataFrame, found: DataFrame) -> DataFrame:
