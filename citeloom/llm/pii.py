@@ -4,10 +4,11 @@ Four base kinds (email, ip, card, phone) follow fixed patterns and checks, and a
 spans that may overlap (masked addresses, account and identity numbers, local phone numbers, secrets). Each proposal gets
 format and context features; an ensemble of boosted trees, fitted on the driver to generated examples (`EXAMPLES` rows,
 fixed seed) and compiled to CASE expressions, scores it; a threshold per kind, calibrated on held-out examples for
-precision, selects spans. A proposal that overlaps a base span or a better proposal is dropped.
+precision, selects spans. Of spans that overlap, base ones stay; where there are none, the best proposal.
 
 Patterns never need to backtrack over a run: possessive quantifiers, and look-behinds that let a run start only at its
-first character or where the last match ended. Positions come from the lengths of the pieces between matches.
+first character or where the last match ended. Positions come from the lengths of the pieces between matches. Sums and
+maxima over the spans of a text are prefix scans of log2(n) passes, so a text may hold very many.
 
 Defined results: null and empty texts have no spans; equal rows are judged one by one; an empty table gives an empty
 result; columns other than `doc_id` and `text` pass through redact() untouched.
@@ -19,6 +20,7 @@ import functools
 import math
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +44,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/-])",
 }
 PROPOSED = tuple(k for k in PATTERNS if k not in BASE)
-CONTEXT = 24
+CONTEXT, PIECE = 24, 1024
 SECRET_WORDS = r"(?i)token|secret|passw|pwd|api.?key|bearer|credential|akia"
 PHONE_WORDS = r"(?i)phone|tel\b|tel\.|tel:|call|fax|mobile|whatsapp"
 ID_WORDS = r"(?i)iban|account|ssn|social|identity|passport|konto"
@@ -158,13 +160,32 @@ def tree_sql(tree) -> str:
 # ---- spans
 
 
-def running(lengths: Column) -> Column:
-    """Exclusive prefix sums of an array, in blocks of 64 so that very many matches in one text stay cheap."""
-    n = F.size(lengths)
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int"))).otherwise(F.array().cast("array<int>"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    sums = F.transform(blocks, lambda k: total(F.slice(lengths, k * 64 + 1, 64)))
-    return F.flatten(F.transform(blocks, lambda k: F.transform(F.slice(lengths, k * 64 + 1, 64), lambda v, i: total(F.slice(sums, 1, k)) + total(F.slice(lengths, k * 64 + 1, i)))))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once a row, wherever f uses it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scan(values: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix combinations of an array by an associative f, in log2(n) passes over it."""
+    n = F.size(values)
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(now: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(now, lambda v, i: F.when(i >= back, f(F.get(now, i - back), v)).otherwise(v))
+
+    return F.aggregate(rounds, values, step)
+
+
+def cut(text: Column) -> Column:
+    """A text as pieces of PIECE code points, so that a place far into it is reached without reading all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text that cut() has cut."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * PIECE + 1, end - start)).otherwise("")
 
 
 def luhn(digits: Column) -> Column:
@@ -209,22 +230,24 @@ def find(docs: DataFrame) -> DataFrame:
         return F.when(F.size(m) > 0, F.transform(F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(m)), F.length))
 
     def steps(kind: str) -> Column:
-        return running(F.zip_with(F.col(f"_g_{kind}"), F.transform(F.col(f"_m_{kind}"), F.length), lambda a, b: a + b))
+        return let(F.zip_with(F.col(f"_g_{kind}"), F.col(f"_m_{kind}"), lambda a, v: a + F.length(v)), lambda sizes: scan(sizes, lambda x, y: x + y))
 
     def spans(kind: str) -> Column:
-        starts = F.zip_with(F.col(f"_r_{kind}"), F.col(f"_g_{kind}"), lambda a, b: a + b)
         no = F.lit(list(PATTERNS).index(kind))
-        raw = F.zip_with(starts, F.col(f"_m_{kind}"), lambda s, v: F.struct(s.alias("start"), no.alias("no"), (s + F.length(v)).alias("end"), F.lit(kind).alias("kind"), v.alias("match")))
+        raw = F.zip_with(F.col(f"_r_{kind}"), F.col(f"_m_{kind}"), lambda e, v: F.struct((e - F.length(v)).alias("start"), no.alias("no"), e.alias("end"), F.lit(kind).alias("kind"), v.alias("match")))
         return F.filter(raw, lambda v: valid(kind, v["match"]))
 
     def measured(kind: str) -> Column:
-        before = lambda v: F.substring(text, F.greatest(v["start"] + 1 - CONTEXT, F.lit(1)), F.least(v["start"], F.lit(CONTEXT)))
-        return F.transform(F.col(f"_s_{kind}"), lambda v: F.struct(plain(v).alias("span"), F.struct(*feature_columns(kind, v["match"], before(v))).alias("x")))
+        def all_(pieces: Column) -> Column:
+            before = lambda v: part(pieces, F.greatest(v["start"] - CONTEXT, F.lit(0)), v["start"])
+            return F.transform(F.col(f"_s_{kind}"), lambda v: F.struct(plain(v).alias("span"), F.struct(*feature_columns(kind, v["match"], before(v))).alias("x")))
+
+        return F.when(F.size(F.col(f"_s_{kind}")) > 0, let(cut(text), all_))
 
-    forest, a, b, cut = model()
+    forest, a, b, limits = model()
 
     def selected(kind: str) -> Column:
-        limit = math.log(cut[kind] / (1 - cut[kind])) if cut[kind] < 1 else math.inf
+        limit = math.log(limits[kind] / (1 - limits[kind])) if limits[kind] < 1 else math.inf
         logit = f"({' + '.join(map(tree_sql, forest))}) * {a!r}D + {b!r}D"
         scored = F.expr(f"transform(_x_{kind}, v -> struct({logit} as score, v.span as span))")
         return F.filter(scored, lambda v: v["score"] >= limit)
@@ -236,14 +259,37 @@ def find(docs: DataFrame) -> DataFrame:
     out = out.withColumn("base", F.array_sort(base))
     empty = F.array().cast("array<struct<score:double,span:struct<start:int,no:int,end:int,kind:string>>>")
     out = out.withColumn("_prop", F.concat(*(F.coalesce(F.col(f"_p_{k}"), empty) for k in PROPOSED)))
-    meets = lambda p, q: (p["start"] < q["end"]) & (q["start"] < p["end"])
-    rank = lambda v: F.struct(v["score"], -v["span"]["start"], -v["span"]["no"])
-    out = out.withColumn("_prop", F.filter("_prop", lambda p: ~F.exists("base", lambda q: meets(p["span"], q))))
-    chosen = F.filter("_prop", lambda p: ~F.exists("_prop", lambda q: meets(p["span"], q["span"]) & (rank(q) > rank(p))))
-    out = out.withColumn("spans", F.when(F.size("_prop") > 0, F.array_sort(F.concat("base", F.transform(chosen, lambda v: v["span"])))).otherwise(F.col("base")))
+    out = out.withColumn("spans", F.when(F.size("_prop") > 0, let(F.array_sort(F.concat(F.transform("base", lambda v: ranked(v, F.lit(None).cast("double"))), F.transform("_prop", lambda v: ranked(v["span"], v["score"])))), resolved)).otherwise(F.col("base")))
     return out.select(*[c for c in own], "base", "spans")
 
 
+def ranked(v: Column, score: Column) -> Column:
+    """A span with its score; base spans have none."""
+    return F.struct(v["start"].alias("start"), v["no"].alias("no"), v["end"].alias("end"), v["kind"].alias("kind"), score.alias("score"))
+
+
+def resolved(spans: Column) -> Column:
+    """Of sorted ranked spans, those that stay: spans that overlap in a chain form a cluster; its base spans stay, else its best."""
+
+    def clusters(ends: Column) -> Column:
+        fresh = F.transform(spans, lambda v, i: F.when((i > 0) & (v["start"] < F.get(ends, i - 1)), 0).otherwise(1))
+        return let(fresh, lambda f: scan(f, lambda x, y: x + y))
+
+    def marked(number: Column) -> Column:
+        keys = F.transform(spans, lambda v, i: F.struct(F.get(number, i).alias("c"), v["score"].isNull().cast("int").alias("base"), F.coalesce(v["score"], F.lit(0.0)).alias("score"), (-v["start"]).alias("a"), (-v["no"]).alias("b")))
+        return let(keys, chosen)
+
+    def chosen(keys: Column) -> Column:
+        best = lambda x, y: F.when(x["c"] == y["c"], F.greatest(x, y)).otherwise(y)
+        ahead, behind = let(keys, lambda k: scan(k, best)), F.reverse(let(F.reverse(keys), lambda k: scan(k, best)))
+        top = let(ahead, lambda x: let(behind, lambda y: F.transform(keys, lambda v, i: (v["base"] == 1) | ((F.get(x, i) == v) & (F.get(y, i) == v)))))
+        stay = let(top, lambda t: F.filter(spans, lambda v, i: F.get(t, i)))
+        return F.transform(stay, lambda v: F.struct(v["start"].alias("start"), v["no"].alias("no"), v["end"].alias("end"), v["kind"].alias("kind")))
+
+    ends = let(F.transform(spans, lambda v: v["end"]), lambda e: scan(e, F.greatest))
+    return let(let(ends, clusters), marked)
+
+
 def written(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda v: F.concat_ws(":", v["kind"], v["start"], v["end"])), ",")
 
@@ -251,16 +297,20 @@ def written(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """All columns of docs, with every selected span (overlaps merged) replaced by its kind in angle brackets."""
     found = find(docs.withColumnRenamed("base", "_own_base").withColumnRenamed("spans", "_own_spans"))
-    at, text = F.col("spans"), F.col("text")
-    # a span starts a cut unless an earlier one reaches into it; a cut ends with the furthest of the spans it meets
-    fold = F.aggregate(
-        at,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda s, v: F.when(v["end"] <= s["pos"], s).otherwise(
-            F.struct(v["end"].alias("pos"), F.concat(s["out"], F.when(v["start"] >= s["pos"], F.concat(F.substring(text, s["pos"] + 1, v["start"] - s["pos"]), F.lit("<"), F.upper(v["kind"]), F.lit(">"))).otherwise("")).alias("out"))
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.length(text))),
-    )
+    text = F.col("text")
+
+    def joined(spans: Column) -> Column:
+        # a span starts a cut unless an earlier one reaches into it; a cut ends with the furthest of the spans it meets
+        reach = let(F.transform(spans, lambda v: v["end"]), lambda e: scan(e, F.greatest))
+
+        def written(ends: Column, pieces: Column) -> Column:
+            since = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            out = F.transform(spans, lambda v, i: F.when(v["start"] >= since(i), F.concat(part(pieces, since(i), v["start"]), F.lit("<"), F.upper(v["kind"]), F.lit(">"))).otherwise(""))
+            return F.array_join(F.concat(out, F.array(part(pieces, F.element_at(ends, -1), F.length(text)))), "")
+
+        return let(reach, lambda ends: let(cut(text), lambda pieces: written(ends, pieces)))
+
+    fold = let(F.col("spans"), joined)
     out = found.withColumn("text", F.when(F.size("spans") > 0, fold).otherwise(text)).drop("base", "spans")
     return out.withColumnRenamed("_own_base", "base").withColumnRenamed("_own_spans", "spans").select(*docs.columns)
 
