@@ -2,7 +2,9 @@
 
 The rule list becomes one file: sorted xxhash64 keys, offsets and the full rule strings with their verdicts. Spark ships
 the file to each executor, workers memory-map it, probe every host-suffix and path-prefix of a batch with one vectorised
-binary search, and confirm each hit against the stored string, so that digest collisions cannot give a verdict.
+binary search, and confirm each hit against the stored string, so that digest collisions cannot give a verdict. The file
+tells the longest host and path of a rule; longer suffixes and prefixes of a url cannot be rules and are not probed, so
+the candidates of a url are bounded by the rules, whatever its length.
 
 Defined results: a null url, or one without `://`, has an empty host and path and falls to the default verdict; equal
 rows are judged one by one; an empty table gives an empty result; other columns are not read.
@@ -43,12 +45,17 @@ def host_path(url: str | None) -> tuple[str, str]:
     return rest[: m.start()].translate(UPPER), path[: m2.start()] if m2 else path
 
 
+def digest(rule: bytes) -> int:
+    return xxhash.xxh64_intdigest(rule)
+
+
 def write_index(rules: dict[str, str], path: str) -> None:
-    """magic, n, longest path; n sorted digests; n + 1 offsets; strings `verdict byte + rule`."""
-    rows = sorted((xxhash.xxh64_intdigest(r.encode()), r.encode(), v) for r, v in rules.items())
+    """n, longest host, longest path (code points); n sorted digests; n + 1 offsets; strings `verdict byte + rule`."""
+    rows = sorted((digest(r.encode()), r.encode(), v) for r, v in rules.items())
     blobs = [(b"A" if v == "allow" else b"B") + r for _, r, v in rows]
+    hosts, paths = [r.find("/") for r in rules], [len(r) - r.find("/") for r in rules]
     with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(rows)))
+        f.write(struct.pack("<QQQ", len(rows), max(hosts, default=0), max(paths, default=0)))
         f.write(np.array([d for d, _, _ in rows], "<u8").tobytes())
         f.write(np.cumsum([0, *map(len, blobs)]).astype("<u8").tobytes())
         f.write(b"".join(blobs))
@@ -59,11 +66,11 @@ class Index:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, "r")
-        n = int(raw[:8].view("<u8")[0])
+        n, self.longest_host, self.longest_path = raw[:24].view("<u8").tolist()
         self.n = n
-        self.digests = raw[8 : 8 + 8 * n].view("<u8")
-        self.offsets = raw[8 + 8 * n : 16 + 16 * n].view("<u8")
-        self.blob = raw[16 + 16 * n :]
+        self.digests = raw[24 : 24 + 8 * n].view("<u8")
+        self.offsets = raw[24 + 8 * n : 32 + 16 * n].view("<u8")
+        self.blob = raw[32 + 16 * n :]
 
     def row(self, k: int) -> bytes:
         return self.blob[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
@@ -72,7 +79,7 @@ class Index:
         """Position of each key that is a rule -> whether the rule allows."""
         if not self.n or not keys:
             return {}
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+        digests = np.fromiter(map(digest, keys), np.uint64, len(keys))
         at = np.searchsorted(self.digests, digests)
         near = np.flatnonzero(self.digests[np.minimum(at, self.n - 1)] == digests)
         found = {}
@@ -87,16 +94,18 @@ class Index:
         return found
 
 
-def candidates(host: str, path: str) -> Iterator[bytes]:
-    """Every rule that could fit, longest first within a host: host suffixes at dots, path prefixes that end in a slash."""
+def candidates(host: str, path: str, longest_host: int, longest_path: int) -> Iterator[bytes]:
+    """Every rule that could fit: host suffixes at dots, path prefixes that end in a slash, none longer than a rule's."""
     if not host or not path:
         return
-    ends = [m.end() for m in re.finditer("/", path)][::-1]
-    labels = host.split(".")
-    for k in range(len(labels)):
-        suffix = ".".join(labels[k:])
-        for e in ends:
-            yield (suffix + path[:e]).encode("utf-8", "surrogatepass")
+    ends = [m.end() for m in re.finditer("/", path[:longest_path])]
+    at = len(host)
+    while at >= 0 and len(host) - at <= longest_host + 1:
+        at = host.rfind(".", 0, at) if at else -1
+        suffix = host[at + 1 :]
+        if len(suffix) <= longest_host:
+            for e in ends:
+                yield (suffix + path[:e]).encode("utf-8", "surrogatepass")
 
 
 def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -114,12 +123,12 @@ def judge(pages: DataFrame, rules: dict[str, str], default: str = "allow", id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(SparkFiles.get(name))
-        for b in slices(batches, 4000):
+        for b in slices(batches, 4000, 1):
             parts = [host_path(u) for u in b.column(1).to_pylist()]
             keys: list[bytes] = []
             owner: list[int] = []
             for k, p in enumerate(parts):
-                for c in candidates(*p):
+                for c in candidates(*p, index.longest_host, index.longest_path):
                     keys.append(c)
                     owner.append(k)
             best: dict[int, tuple[int, bytes, bool]] = {}
