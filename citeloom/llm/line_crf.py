@@ -1,8 +1,9 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is good or bad. A line's score is linear in its own features and those of the lines before and after it; a
-transition weight ties neighbours. The field is fitted to at most `SAMPLE` labelled documents (all lines of a document
-carry its label) by gradient ascent on the conditional likelihood, on the driver. Forward-backward gives each line the
+transition weight ties neighbours. The field is fitted to at most `SAMPLE` labelled documents of at most `LINES` lines (all
+lines of a document carry its label) by gradient ascent on the conditional likelihood, on the driver, which so holds
+SAMPLE * LINES lines of N numbers at most. Scores take whole texts of any length. Forward-backward gives each line the
 probability of being good; their mean, weighted by line length, calibrated on the same sample, is the document's score.
 
 Labels come only from rows outside the held-out fold; labels, lang, source and doc_id never enter a score.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import read, settle, slices
 
-SAMPLE, FOLDS, HELD_OUT, THRESHOLD = 4000, 4, 2, 0.7
+SAMPLE, LINES, FOLDS, HELD_OUT, THRESHOLD = 4000, 500, 4, 2, 0.7
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 SYMBOLS, DIGITS, MARKS, PIPES = b"#*$%&<>", b"0123456789", b"!?", b"|"
 N = 13
@@ -42,15 +43,34 @@ def line_features(line: str) -> tuple[float, ...]:
     )
 
 
-def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x 3N features, lengths): each line with its neighbours."""
-    lines = (text or "").split("\n")
-    own = np.array([line_features(x) for x in lines])
-    around = np.zeros((len(lines), 3 * N))
+def own_features(lines: list[str]) -> np.ndarray:
+    return np.array([line_features(x) for x in lines]).reshape(len(lines), N)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """lines x 3N features: each line's own, those of the line before and of the one after."""
+    around = np.zeros((len(own), 3 * N))
     around[:, :N] = own
     around[1:, N : 2 * N] = own[:-1]
     around[:-1, 2 * N :] = own[1:]
-    return around, np.array([len(x) + 1 for x in lines], float)
+    return around
+
+
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x 3N features, lengths): each line with its neighbours."""
+    lines = (text or "").split("\n")
+    return with_neighbours(own_features(lines)), np.array([len(x) + 1 for x in lines], float)
+
+
+def line_scores(text: str | None, weights: np.ndarray, block: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """text_features(text) @ weights and the lengths, with the features of a block of lines in memory at a time."""
+    lines = (text or "").split("\n")
+    parts = weights.reshape(3, N).T
+    each = np.concatenate([own_features(lines[k : k + block]) @ parts for k in range(0, len(lines), block)])
+    score = each[:, 0].copy()
+    score[1:] += each[:-1, 1]
+    score[:-1] += each[1:, 2]
+    return score, np.array([len(x) + 1 for x in lines], float)
 
 
 @dataclass
@@ -138,19 +158,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 200):
-        found = [text_features(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary()), b.column(1)], ["x", "n", "quality"])
+    for b in slices(batches, 200, 0):
+        found = [(t or "").split("\n") for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([own_features(x).tobytes() for x in found], pa.binary()), pa.array([np.array([len(y) + 1.0 for y in x]).tobytes() for x in found], pa.binary()), b.column(1)], ["x", "n", "quality"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most SAMPLE labelled documents outside the held-out fold, drawn by hash."""
+    """Fit on at most SAMPLE labelled documents outside the held-out fold, drawn by hash; those of more than LINES lines are passed over."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     drawn = settle(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id").select("text", "quality")  # SAMPLE rows at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # SAMPLE rows at most
+    rows = rows.where(F.regexp_count(F.coalesce("text", F.lit("")), F.lit("\n")) < LINES).select("text", "quality").limit(2 * SAMPLE)  # ids may repeat
     got = rows.mapInArrow(_pack, "x binary, n binary, quality int").collect()
     got.sort(key=lambda r: (r["quality"], bytes(r["x"])))
-    found = [(np.frombuffer(r["x"]).reshape(-1, 3 * N), np.frombuffer(r["n"])) for r in got]
+    found = [(with_neighbours(np.frombuffer(r["x"]).reshape(-1, N)), np.frombuffer(r["n"])) for r in got]
     return fit(found, np.array([r["quality"] for r in got], float)) if found else Model(np.zeros(3 * N), 0.0, 0.0, 0.0)
 
 
@@ -158,13 +179,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
-            found = [text_features(t) for t in b.column(1).to_pylist()]
+        for b in slices(batches, 256, 1):
+            found = [line_scores(t, model.weights) for t in b.column(1).to_pylist()]
             out = np.zeros(len(found))
             short = [k for k in range(len(found)) if len(found[k][0]) <= 200]
             groups = [short] * bool(short) + [[k] for k in range(len(found)) if len(found[k][0]) > 200]
             for g in groups:
-                for k, p in zip(g, marginals([found[k][0] @ model.weights for k in g], model.stay)[0], strict=True):
+                for k, p in zip(g, marginals([found[k][0] for k in g], model.stay)[0], strict=True):
                     out[k] = model.calibrated((p * found[k][1]).sum() / found[k][1].sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
 
