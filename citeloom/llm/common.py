@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +26,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW_GROUP = 16 << 20
 
 
+#: Texts are long: Arrow batches of the default 64 MB cost a task several times that outside the heap.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches at 8 MB in this session, unless it sets a size of its own."""
+    if BATCH not in spark.conf.getAll:
+        spark.conf.set(BATCH, "8m")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/citeloom-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -87,6 +103,35 @@ def slices(batches, rows: int = 2000, column: int = -1, most: int = 1 << 20):
             at = end
 
 
+#: What operators keep in this Python worker, and how to forget it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str) -> None:
+    """Forget what other operators have kept in this worker."""
+    for name in [k for k in KEPT if k != owner]:
+        KEPT.pop(name)()
+
+
+def task(owner: str, forget: Callable[[], None] | None = None):
+    """For functions over record batches: a worker holds the caches of one operator only, and gives free memory back at the end."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(batches):
+            alone(owner)
+            if forget:
+                KEPT[owner] = forget
+            yield from f(batches)
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+        return run
+
+    return wrap
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

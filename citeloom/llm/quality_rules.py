@@ -11,6 +11,7 @@ judged one by one; an empty table gives an empty result; columns other than `id_
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -18,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import alone, read, slices, task
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -116,8 +118,19 @@ RULES = (
 )
 
 
-def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text", fraction: float = 0.005, seed: int = 7) -> list[Rule]:
-    """Rules ordered by rejections per second, both measured on a sample. Only two sums a rule reach the driver."""
+def some_rows(docs: DataFrame, files: int = 8, rows: int = 2000) -> DataFrame:
+    """At most so many rows from at most so many of the files, evenly chosen by name: bounded whatever the size of the table."""
+    found = sorted(re.sub("^file:/+", "file:/", p) for p in docs.inputFiles())  # as the file source writes paths
+    if len(found) > files:
+        try:
+            docs = docs.where(F.col("_metadata.file_path").isin(found[:: -(-len(found) // files)]))
+        except AnalysisException:  # not a plain scan of files
+            pass
+    return docs.limit(rows)
+
+
+def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text") -> list[Rule]:
+    """Rules ordered by rejections per second, both measured on a bounded sample. Only two sums a rule reach the driver."""
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, cut, n = [0.0] * len(rules), [0] * len(rules), 0
@@ -133,7 +146,7 @@ def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text", fraction:
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "spent": spent, "cut": pa.array(cut, pa.int64()), "n": pa.array([n] * len(rules), pa.int64())})
 
-    tried = docs.select(text_col).sample(fraction, seed).mapInArrow(trial, "rule int, spent double, cut long, n long")
+    tried = some_rows(docs).select(text_col).mapInArrow(trial, "rule int, spent double, cut long, n long")
     found = {r["rule"]: r for r in tried.groupBy("rule").sum("spent", "cut", "n").collect()}
 
     def worth(k: int) -> float:
@@ -149,6 +162,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_i
     rules = plan_cascade(docs, text_col=text_col) if rules is None else list(rules)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+    @task("quality_rules")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2000, 1):
             out: dict[str, list] = {c: [] for c in (*counts, "base_failed", "kept", "rejected_by")}
@@ -173,6 +187,7 @@ def keep(docs: DataFrame) -> DataFrame:
     rules = plan_cascade(docs)
 
     def passes(texts: pa.Array) -> pa.Array:
+        alone("quality_rules")
         mask = []
         for k in range(len(texts)):
             doc = measure(texts[k].as_py())
