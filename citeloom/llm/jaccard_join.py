@@ -22,13 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, drop_settled, parity, read, release, settle, shingle_batch, slices
+from .common import broadcast_if_small, drop_settled, parity, read, release, settle, shingle_batch, slices, task
 from .simgraph import components, shared_rows
 
 WIDTH, NUM, DEN = 4, 85, 100
@@ -92,6 +91,7 @@ def frequency_classes(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame
     The sketch has a fixed size, bits is at most MOST_BITS (64 MB of counts in a task, 16 MB of classes to broadcast).
     """
 
+    @task("jaccard_join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for b in slices(batches, 1000, 1):
@@ -112,15 +112,16 @@ def frequency_classes(docs: DataFrame, width: int, bits: int) -> tuple[DataFrame
     names = ["doc_id", "ent", "check", "n", "odd", "slice", "sketch"]
     both = settle(docs.mapInArrow(run, "doc_id long, ent long, check long, n long, odd array<long>, slice int, sketch binary"))
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         total = None
-        for raw in frame["sketch"]:
-            part = np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.uint64)
+        for raw in rows.column("sketch"):
+            part = np.frombuffer(zlib.decompress(raw.as_py()), np.uint32).astype(np.uint64)
             total = part if total is None else total + part
-        return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "salt": [0], "sketch": [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)]})
+        packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+        return pa.table([rows.column("slice")[:1], pa.array([0], pa.int32()), pa.array([packed], pa.binary())], ["slice", "salt", "sketch"])
 
     parts = both.where("slice is not null").select("slice", F.pmod(F.xxhash64("sketch"), F.lit(32)).cast("int").alias("salt"), "sketch")
-    parts = parts.groupBy("slice", "salt").applyInPandas(add, "slice int, salt int, sketch binary").groupBy("slice").applyInPandas(add, "slice int, salt int, sketch binary")
+    parts = parts.groupBy("slice", "salt").applyInArrow(add, "slice int, salt int, sketch binary").groupBy("slice").applyInArrow(add, "slice int, salt int, sketch binary")
     counts = np.zeros(1 << bits, np.uint32)
     step = min(SLICE, 1 << bits)
     for r in parts.toLocalIterator():  # fixed number of slices
@@ -141,6 +142,7 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
         bad, again = F.col("ent").isin(*clashing), F.udf(renamed, "long")  # a handful of rows
         table = table.where(~bad).unionByName(table.where(bad).withColumn("ent", again("ent", "check")))
 
+    @task("jaccard_join")
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, own = np.frombuffer(classes.value, np.uint8), set()
         for b in slices(batches, 500, 1):
@@ -161,6 +163,7 @@ def link(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id
     wanted = shared.select("ent").distinct()
     entities = settle(table.join(wanted, "ent").groupBy("ent").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("odd").alias("odd")))
 
+    @task("jaccard_join")
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500, 1):
             sets = shingle_batch(b.column(1).to_pylist(), width)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, settle, shuffle_partitions, slices
+from .common import read, settle, shuffle_partitions, slices, task
 
 CAPACITY, END = 1024, 2
 #: Characters for which PRETOKEN cuts as the tokenizer does.
@@ -88,6 +88,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids of each piece."""
 
+    @task("packing", shared_encoder.cache_clear)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = shared_encoder(path), np.asarray([END], "<u4").tobytes()
         for b in slices(batches, 256, 1):

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, broadcast_if_small, drop_settled, mix64, parity, read, release, settle, slices, windows, words_of
+from .common import Words, broadcast_if_small, drop_settled, mix64, parity, read, release, settle, slices, task, windows, words_of
 from .jaccard_join import REMEMBERED, clashes, entity, renamed
 from .simgraph import components, shared_rows
 
@@ -144,6 +144,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     hits = settle(hits.select("key", "row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0")))
     steps = settle(chains(hits, ANCHOR).withColumn("b", F.col("b") + ANCHOR).withColumn("_l", (F.col("a") + F.col("delta")) * 2).withColumn("_r", (F.col("b") + F.col("delta")) * 2 + 1))
 
+    @task("passage_dedup")
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Up to AROUND words before a place (even want) or after it (odd), nearest first, and the code points where they begin or end."""
         for b in slices(batches, 200, 0):
@@ -172,6 +173,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
             t = t.join(broadcast_if_small(end, places, 200_000), ["row0", side])
         return t
 
+    @task("passage_dedup")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many words around a chain are equal to those around its first place (l, r), and where in the text it then lies."""
         names = ["row", "doc_id", "row0", "doc0", "delta", "a", "b", "l", "r", "start", "end"]
@@ -208,6 +210,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     open_ = marks.join(short, "key", "left_semi").join(whole, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("wants"))  # at most a text's anchors
     open_ = settle(open_)
 
+    @task("passage_dedup")
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of RUN words that have a wanted anchor as their minimum."""
         for b in slices(batches, 200, 1):
@@ -266,6 +269,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     docs = numbered(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"))
     bands, rows = tune_bands(num / den, RECALL, MOST_HASHES)
 
+    @task("passage_dedup")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places of all paragraphs, with band keys and sketch at the first of equal sets within a partition; for each text its anchors (para null)."""
         own: set[int] = set()
@@ -311,6 +315,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     places = table.join(wanted, "ent").groupBy("ent").agg(F.min("row").alias("row"))
     entities = settle(entities.join(places, "ent").select("ent", "n", "odd", "row"))
 
+    @task("passage_dedup")
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 500, 0):
             want, out = [set(x) for x in b.column(1).to_pylist()], {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, settle, shuffle_partitions
+from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, settle, shuffle_partitions, task
 
 CROWD, BLOCK, STARS = 16, 2048, 8
 
@@ -39,12 +39,11 @@ def connected(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = settle(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         small = settle(small)
         found = tuple(small.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-        drop_settled(now, large)
+        drop_settled(now)
         now = small
         if found == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -98,6 +97,7 @@ def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[n
 def crowded_pairs(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b) of rows (key, tile, side, ent, n, comp, odd), which are dealt by key and tile; groups of one task pass one by one."""
 
+    @task("simgraph")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
