@@ -43,5 +43,18 @@ def title(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, 2, 1 << 30)))), "")
 
 
-def first_group(c: Column, pattern: str) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")), F.lit("9999")).cast("int")
+def display(x: Column, digits: int = 0) -> Column:
+    """A number of 0 or more with 0 or 1 decimals as text, rounded half to even by its exact binary value."""
+    ten, unit = 10**digits, 1 << 58
+    whole = F.floor(x).cast("bigint")
+    part = ((x - whole) * float(unit)).cast("bigint") * ten  # exact: a fraction has no more bits where it matters
+    low, rest = F.call_function("div", part, F.lit(unit)), part % F.lit(unit)
+    digit = whole * ten + low
+    up = (rest > unit // 2) | ((rest == unit // 2) & (digit % 2 == 1))
+    shown = F.when(up, digit + 1).otherwise(digit)
+    return shown.cast("string") if not digits else F.concat(F.call_function("div", shown, F.lit(ten)).cast("string"), F.lit("."), (shown % ten).cast("string"))
+
+
+def output_name(name: Column) -> Column:
+    """The name of a highlighted copy: what stands before the last dot, and a suffix."""
+    return F.concat(F.regexp_replace(name, r"(?s)\.[^.]*\z", ""), F.lit("_highlighted.pdf"))

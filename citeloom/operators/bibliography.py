@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+# fixed values: the start of an entry, the largest number, years
 ENTRY = r"(?Ud)^\s*(?:(\d+)\.\s*(.*)|(?:\[(\d+)\])\s*(.*))$"
 MOST = 999
 YEAR = r"(1[89]\d{2}|20[0-2]\d)"

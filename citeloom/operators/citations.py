@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+# fixed values: a bracket, a range and its widest span
 BRACKET = "(?U)[\\[\\uF05B][\\d\\s\\x1c-\\x1f;,\\-–−.сСcC]+[\\]\\uF05D]"
 RANGE = r"(?U)^(\d+)\s*[\-–−]\s*(\d+)$"
 WIDEST = 200

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import rstrip
+from ..functions.text import rstrip, strip
 
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\u0085\\u2028\\u2029]"
 MAX_BYTES = 30 * 1024 * 1024
@@ -23,8 +23,8 @@ def size_guard(size: Column, limit: int = MAX_BYTES) -> Column:
 
 
 def scanned_guard(pages: DataFrame) -> DataFrame:
-    """One row a document: SCANNED_PDF if no page holds text."""
-    total = F.sum(F.coalesce(F.length(F.trim("text")), F.lit(0)))
+    """One row a document: SCANNED_PDF if no page holds anything but white space."""
+    total = F.sum(F.coalesce(F.length(strip(F.col("text"))), F.lit(0)))
     return pages.groupBy("doc_id").agg(F.when(total == 0, "SCANNED_PDF").alias("error"))
 
 

@@ -11,6 +11,7 @@ from ..functions.text import collapse, strip, title, word_count
 # fixed values: cities, institution words
 CITIES = "Київ|Харків|Львів|Одеса|Дніпро|Запоріжжя|Вінниця|Миколаїв|Суми|Полтава|Чернівці|Черкаси|Херсон|Хмельницький|Рівне|Луцьк|Тернопіль|Ужгород|Кропивницький|Житомир|Чернігів|Івано-Франківськ"
 INSTITUTIONS = ("університет", "університету", "інститут", "інституту", "академія", "академії", "міністерство", "міністерства", "національний", "національна", "національного", "національної", "державний", "державна", "державного", "державної", "імені", "гончара", "факультет", "кафедра")
+# fixed values: years, places of a year, a full name
 Y = r"(20[0-2]\d|19[89]\d)"
 ANCHORS = (rf"(?Ud)(?:{CITIES})\s*[–—\-]\s*{Y}", rf"(?Ud)\b{Y}\s+(?:р(?:ік|\.)|рр\.)", rf"(?Ud)\(\s*{Y}\s*\)\s*$")
 NAME = r"(?U)^[А-ЯІЇЄҐ][а-яіїєґА-ЯІЇЄҐʼ'\-]+(?:\s+[А-ЯІЇЄҐ][а-яіїєґА-ЯІЇЄҐʼ'\-]+){1,2}$"

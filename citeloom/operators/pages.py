@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# fixed value: a citation on a page
 CITATION = "(?Us)[\\[\\uF05B]\\s*\\d[^\\]\\uF05D]{0,250}[\\]\\uF05D]"
 SKIP_FIRST = 2
 
@@ -44,24 +45,35 @@ def highlights(words: DataFrame) -> DataFrame:
     return matches(page_text(words)).join(spans, ["doc_id", "page"]).where(hit).select("doc_id", "page", "match_no", "word_no", "text")
 
 
+def highlight_boxes(words: DataFrame) -> DataFrame:
+    """The boxes to mark: highlights() with x0, y0, x1, y1 of each word, from words that have them."""
+    boxes = words.select("doc_id", "page", "word_no", "x0", "y0", "x1", "y1")
+    return highlights(words).join(boxes, ["doc_id", "page", "word_no"]).select("doc_id", "page", "match_no", "word_no", "text", "x0", "y0", "x1", "y1")
+
+
 def empty_pages(pages: DataFrame, words: DataFrame, starts: DataFrame, skip_first: int = SKIP_FIRST) -> DataFrame:
-    """doc_id, tracked, n_empty, empty_pct, ranges: pages between the front matter and the bibliography without citations."""
+    """doc_id, tracked, n_empty, empty_pct, ranges: pages between the front matter and the bibliography without citations.
+
+    A document all of whose pages are front matter or bibliography has no tracked pages and 0 per cent.
+    """
     hit = matches(page_text(words)).select("doc_id", "page").distinct().withColumn("hit", F.lit(True))
     start = F.col("start_page")
-    last = F.when(start > 1, start - 1).otherwise(F.lit(1 << 30))
-    rows = pages.join(starts, "doc_id", "left").join(hit, ["doc_id", "page"], "left").where((F.col("page") > skip_first) & (F.col("page") <= F.coalesce(last, F.lit(1 << 30))))
-    rows = rows.withColumn("empty", F.col("hit").isNull())
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("tracked"), F.count(F.when(F.col("empty"), 1)).alias("n_empty"))
+    last = F.coalesce(F.when(start > 1, start - 1), F.lit(1 << 30))
+    tracked = (F.col("page") > skip_first) & (F.col("page") <= last)
+    rows = pages.join(starts, "doc_id", "left").join(hit, ["doc_id", "page"], "left").withColumn("tracked", tracked).withColumn("empty", tracked & F.col("hit").isNull())
+    counts = rows.groupBy("doc_id").agg(F.count(F.when(F.col("tracked"), 1)).alias("tracked"), F.count(F.when(F.col("empty"), 1)).alias("n_empty"))
     ranges = page_ranges(rows.where("empty").select("doc_id", "page"))
+    share = F.when(F.col("tracked") > 0, F.try_divide("n_empty", "tracked") * 100).otherwise(0.0)
     out = counts.join(ranges, "doc_id", "left")
-    return out.select("doc_id", "tracked", "n_empty", (F.col("n_empty") / F.col("tracked") * 100).alias("empty_pct"), F.coalesce("ranges", F.lit("")).alias("ranges"))
+    return out.select("doc_id", "tracked", "n_empty", share.alias("empty_pct"), F.coalesce("ranges", F.lit("")).alias("ranges"))
 
 
 def page_ranges(pages: DataFrame) -> DataFrame:
-    """doc_id, ranges: runs of consecutive pages as `a–b`, single ones as `a`; repeats do not merge."""
+    """doc_id, ranges: runs of consecutive pages as `a–b`, single ones as `a`; a repeated page begins a run of its own."""
     w = W.partitionBy("doc_id").orderBy("page")
-    rows = pages.withColumn("_n", F.row_number().over(w)).withColumn("_i", F.col("page") - F.col("_n"))
-    runs = rows.groupBy("doc_id", "_i").agg(F.min("page").alias("a"), F.max("page").alias("b"))
+    fresh = F.coalesce(F.col("page") - F.lag("page").over(w) != 1, F.lit(True)).cast("int")
+    rows = pages.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy("doc_id", "_run").agg(F.min("page").alias("a"), F.max("page").alias("b"))
     label = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("–", "a", "b"))
-    listed = F.array_sort(F.collect_list(F.struct("a", "_i", label.alias("t"))))
+    listed = F.array_sort(F.collect_list(F.struct("_run", label.alias("t"))))
     return runs.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda s: s["t"]), ", ").alias("ranges"))

@@ -14,6 +14,7 @@ CHAPTERS = ("РОЗДІЛ", "CHAPTER", "ГЛАВА", "ЧАСТИНА")
 INTRO = ("ВСТУП",)
 ENDS = ("ВИСНОВКИ", "ЗАГАЛЬНІ ВИСНОВКИ", "СПИСОК ВИКОРИСТАНИХ ДЖЕРЕЛ", "СПИСОК ЛІТЕРАТУРИ", "СПИСОК ВИКОРИСТАНОЇ ЛІТЕРАТУРИ", "ВИКОРИСТАНІ ДЖЕРЕЛА", "БІБЛІОГРАФІЯ", "БІБЛІОГРАФІЧНИЙ СПИСОК", "REFERENCES", "ДОДАТКИ", "ДОДАТОК")
 ABBREVIATIONS = "табл|таб|рис|див|стор|ст|с|п|ч|т|д|дод|вид|грн|млн|млрд|кг|км|га|ін|тис|проф|доц|акад"
+# fixed values: a line of a table of contents, a letter, limits
 TOC, LETTER = r"(?Ud)\.{3,}\s*\d*\s*$", "[А-Яа-яІіЇїЄєҐґA-Za-z]"
 MIN_CHARS, MIN_SENTENCES, TOC_GAP, LINE_GAP = 80, 5, 100, 1.5
 
@@ -61,13 +62,15 @@ def content_bounds(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return out.select("doc_id", "content_start", F.when(~lost, F.col("content_end")).alias("content_end"), F.when(lost, "CONTENT_NOT_FOUND").alias("error"))
 
 
-def pdf_paragraphs(layout: DataFrame, start_page: int | None = None, end_page: int | None = None) -> DataFrame:
-    """doc_id, para_index, page, text, sentence_count from layout lines (doc_id, page, seq, block_type, text, top, bottom)."""
+def pdf_paragraphs(layout: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """doc_id, para_index, page, text, sentence_count from layout lines (doc_id, page, seq, block_type, text, top, bottom).
+
+    bounds: (doc_id, start_page, end_page), whole pages, both included; null or 0 is no bound.
+    """
     rows = layout.where("block_type = 0").withColumn("text", strip(F.col("text"))).where("text <> ''")
-    if start_page:
-        rows = rows.where(F.col("page") >= start_page)
-    if end_page:
-        rows = rows.where(F.col("page") <= end_page)
+    if bounds is not None:
+        start, end = (F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(d)) for c, d in (("start_page", 1), ("end_page", 1 << 30)))
+        rows = rows.join(bounds.select("doc_id", "start_page", "end_page"), "doc_id", "left").where((F.col("page") >= start) & (F.col("page") <= end))
     w = W.partitionBy("doc_id", "page").orderBy("seq")
     height = F.col("bottom") - F.col("top")
     past = F.last(F.when(height > 0, height), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -92,6 +95,20 @@ def docx_paragraphs(paras: DataFrame) -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(w) - 1).cast("int").alias("para_index"), "context_heading", "text", sentence_count(F.col("text")).alias("sentence_count"))
 
 
+def page_bounds(lines: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(doc_id, start_page, end_page) of the lines that content_bounds() names."""
+    at = lines.select("doc_id", "line_no", "page").join(bounds.where("error is null").select("doc_id", "content_start", "content_end"), "doc_id")
+    page = lambda c: F.max(F.when(F.col("line_no") == F.col(c), F.col("page")))
+    return at.groupBy("doc_id").agg(page("content_start").alias("start_page"), page("content_end").alias("end_page"))
+
+
+def extract_paragraphs(layout: DataFrame, paras: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """doc_id, para_index, page, context_heading, text, sentence_count of PDF documents (layout lines) and DOCX ones (styled paragraphs)."""
+    pdf, docx = pdf_paragraphs(layout, bounds), docx_paragraphs(paras)
+    cols = ("doc_id", "para_index", "page", "context_heading", "text", "sentence_count")
+    return pdf.withColumn("context_heading", F.lit(None).cast("string")).select(*cols).unionByName(docx.withColumn("page", F.lit(None).cast("int")).select(*cols))
+
+
 def has_citation(text: Column) -> Column:
     return text.rlike(BRACKET)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import bibliography, citations, lines, meta, pages, paragraphs, zones
 from . import fixtures
 
@@ -152,9 +153,12 @@ def document_lines(s, d):
     return lines.split_lines(fixtures.table(s, d, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
 
 
-@query("select doc_id, case when length(trim(coalesce(text, ''))) = 0 then 'SCANNED_PDF' end as error from documents")
+@query(f"""with p as (select doc_id, text from documents union all select -1, chr(10) || chr(12) || chr(160) || chr(8195) union all select -1, null)
+select doc_id, case when sum(length(regexp_replace(coalesce(text, ''), '{WS}+', '', 'g'))) = 0 then 'SCANNED_PDF' end as error from p group by doc_id""")
 def empty_document_guard(s, d):
-    return lines.scanned_guard(fixtures.table(s, d, "documents").select("doc_id", "text"))
+    pages_ = fixtures.table(s, d, "documents").select("doc_id", "text")
+    blank = s.createDataFrame([(-1, "\n\f\u00a0\u2003"), (-1, None)], "doc_id long, text string")  # pages of nothing but white space
+    return lines.scanned_guard(pages_.unionByName(blank))
 
 
 @query("select doc_id, case when strlen(text) > 4000 then 'FILE_TOO_LARGE' end as error from documents")
@@ -375,20 +379,74 @@ def citation_word_spans(s, d):
 
 
 _EMPTY = f"""{_WORDS}, hs as (select doc_id, max(line_no) as b from l where {_any("n", zones.HEADERS)} group by doc_id), sp as (select l.doc_id, page as start_page from l join hs on l.doc_id = hs.doc_id and line_no = b),
-pg as (select distinct doc_id, page from l), tp as (select pg.doc_id, pg.page, m.page is null as empty from pg left join sp using (doc_id) left join (select distinct doc_id, page from m) m on pg.doc_id = m.doc_id and pg.page = m.page
-  where pg.page > 2 and pg.page <= case when start_page > 1 then start_page - 1 else 1000000000 end),
+pg as (select distinct doc_id, page from l union all select 1000, unnest([1, 2]) union all select 1001, unnest([1, 2, 3, 4, 6])),
+t0 as (select pg.doc_id, pg.page, m.page is null as bare, pg.page > 2 and pg.page <= case when start_page > 1 then start_page - 1 else 1000000000 end as tracked
+  from pg left join sp using (doc_id) left join (select distinct doc_id, page from m) m on pg.doc_id = m.doc_id and pg.page = m.page),
+tp as (select doc_id, page, tracked, tracked and bare as empty from t0),
 r0 as (select doc_id, page, page - row_number() over (partition by doc_id order by page) as i from tp where empty),
 r1 as (select doc_id, min(page) as a, max(page) as b from r0 group by doc_id, i),
 rg as (select doc_id, string_agg(case when a = b then a::varchar else a::varchar || '–' || b::varchar end, ', ' order by a) as ranges from r1 group by doc_id)"""
 
 
-@query(f"""with {_EMPTY} select doc_id, count(*) as tracked, count(*) filter (empty) as n_empty, count(*) filter (empty) / count(*)::double * 100 as empty_pct, coalesce(any_value(ranges), '') as ranges from tp left join rg using (doc_id) group by doc_id""")
+@query(f"""with {_EMPTY} select doc_id, count(*) filter (tracked) as tracked, count(*) filter (empty) as n_empty, case when count(*) filter (tracked) > 0 then count(*) filter (empty) / (count(*) filter (tracked))::double * 100 else 0.0::double end as empty_pct, coalesce(any_value(ranges), '') as ranges from tp left join rg using (doc_id) group by doc_id""")
 def empty_pages(s, d):
-    return pages.empty_pages(fixtures.lines(s, d).select("doc_id", "page").distinct(), fixtures.words(s, d), starts(s, d))
+    wordless = s.createDataFrame([(1000, 1), (1000, 2), *((1001, k) for k in (1, 2, 3, 4, 6))], "doc_id long, page int")  # two pages; five without words
+    return pages.empty_pages(fixtures.lines(s, d).select("doc_id", "page").distinct().unionByName(wordless), fixtures.words(s, d), starts(s, d))
 
 
-@query(f"""with {_LINES}, r0 as (select distinct doc_id, page from l where page % 5 <> 0), r1 as (select *, page - row_number() over (partition by doc_id order by page) as i from r0),
-r2 as (select doc_id, min(page) as a, max(page) as b from r1 group by doc_id, i)
-select doc_id, string_agg(case when a = b then a::varchar else a::varchar || '–' || b::varchar end, ', ' order by a) as ranges from r2 group by doc_id""")
+@query(f"""with {_LINES}, r0 as (select distinct doc_id, page from l where page % 5 <> 0 union all select distinct doc_id, page from l where page % 7 = 3),
+r1 as (select *, row_number() over (partition by doc_id order by page) as k, coalesce(page - lag(page) over (partition by doc_id order by page) <> 1, true)::int as fresh from r0),
+r2 as (select *, sum(fresh) over (partition by doc_id order by k rows unbounded preceding) as run from r1), r3 as (select doc_id, run, min(page) as a, max(page) as b from r2 group by doc_id, run)
+select doc_id, string_agg(case when a = b then a::varchar else a::varchar || '–' || b::varchar end, ', ' order by run) as ranges from r3 group by doc_id""")
 def page_ranges(s, d):
-    return pages.page_ranges(fixtures.lines(s, d).where("page % 5 <> 0").select("doc_id", "page").distinct())
+    rows = fixtures.lines(s, d).select("doc_id", "page").distinct()
+    return pages.page_ranges(rows.where("page % 5 <> 0").unionByName(rows.where("page % 7 = 3")))  # some pages twice
+
+
+@query(f"""with {_WORDS}, bx as (select *, ((word_no % 1000) * 50)::double as x0, (block_no % 30 * 14)::double as y0 from w2)
+select m.doc_id, m.page, match_no, word_no, text, x0, y0, x0 + 7 * length(text) as x1, y0 + 12 as y1 from m join bx on m.doc_id = bx.doc_id and m.page = bx.page and s < ms0 + n and s + length(text) > ms0""")
+def highlight_boxes(s, d):
+    return pages.highlight_boxes(fixtures.words(s, d))
+
+
+# ---- dispatch and display
+
+
+@query(f"""with {_PARAS}, {_STYLED}, bd as (select doc_id, (doc_id % 3)::int as a, (doc_id % 5)::int as b from documents),
+inside as (select doc_id, page, text, row_number() over (partition by doc_id order by para_index) - 1 as para_index, sentence_count from paras join bd using (doc_id) where page >= greatest(a, 1) and (b = 0 or page <= b))
+select doc_id, para_index::int as para_index, page, null::varchar as context_heading, text, sentence_count from inside
+union all select doc_id + 1000000, para_index, null::int, context_heading, text, sentence_count from docx""")
+def extracted_paragraphs(s, d):
+    bounds = fixtures.table(s, d, "documents").selectExpr("doc_id", "cast(doc_id % 3 as int) as start_page", "cast(doc_id % 5 as int) as end_page")
+    styled = fixtures.styled(s, d).withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    return paragraphs.extract_paragraphs(fixtures.layout(s, d), styled, bounds)
+
+
+@query(f"""with {_TRIGGERS}, c as (select doc_id, max(line_no) filter (zone = 'body') as e, min(line_no) filter (is_chapter and not is_toc) as a from tr join z using (doc_id, line_no) group by doc_id)
+select c.doc_id, max(page) filter (line_no = a) as start_page, max(page) filter (line_no = e) as end_page from c join l using (doc_id) group by c.doc_id""")
+def content_pages(s, d):
+    rows = zoned(s, d)
+    line = F.col("line")
+    chapter = ~paragraphs.is_toc(line) & paragraphs.section_trigger(line, paragraphs.CHAPTERS, False)
+    bounds = rows.groupBy("doc_id").agg(F.min(F.when(chapter, F.col("line_no"))).alias("content_start"), F.max(F.when(F.col("zone") == "body", F.col("line_no"))).alias("content_end"), F.lit(None).cast("string").alias("error"))
+    return paragraphs.page_bounds(rows, bounds)
+
+
+@query(f"""with {_COMPARED}, u as (select doc_id, count(*) filter (status <> 'phantom') as n, count(*) filter (status = 'used') as used, count(*) filter (status = 'orphan') as orphans from cmp group by doc_id)
+select doc_id, printf('%.0f%%', case when n > 0 then used * 100.0::double / n else 0 end) as used_label, case when orphans > 0 then printf('-%.0f%%', orphans * 100.0::double / n) end as orphan_label from u""")
+def usage_labels(s, d):
+    u = citations.usage(compared(s, d))
+    orphan = F.when(F.col("orphans") > 0, F.concat(F.lit("-"), text.display(F.col("orphan_pct")), F.lit("%")))
+    return u.select("doc_id", F.concat(text.display(F.col("used_pct")), F.lit("%")).alias("used_label"), orphan.alias("orphan_label"))
+
+
+@query("""select doc_id, printf('%.0f', (doc_id % 4001) / 8.0::double) as whole, printf('%.1f', (doc_id % 4001) / 16.0::double) as tenth, printf('%.1f', doc_id * 100 / 1001.0::double) as share from documents""")
+def display_rounding(s, d):
+    n = F.col("doc_id")
+    return fixtures.table(s, d, "documents").select("doc_id", text.display((n % 4001) / F.lit(8.0)).alias("whole"), text.display((n % 4001) / F.lit(16.0), 1).alias("tenth"), text.display(n * 100 / F.lit(1001.0), 1).alias("share"))
+
+
+@query("""select doc_id, case when doc_id % 4 = 0 then 'thesis' else 'a.b' || doc_id || '.pdf' end as name, case when doc_id % 4 = 0 then 'thesis' else 'a.b' || doc_id end || '_highlighted.pdf' as output from documents""")
+def output_names(s, d):
+    name = F.when(F.col("doc_id") % 4 == 0, "thesis").otherwise(F.concat(F.lit("a.b"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return fixtures.table(s, d, "documents").select("doc_id", name.alias("name"), text.output_name(name).alias("output"))

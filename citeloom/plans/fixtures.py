@@ -45,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES, **{n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part")})
+    """The corpus; derived once a session, as plans that are equal share what is kept (it spills to disk, and can be derived again)."""
+    return spark.sql(LINES, **{n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part")}).persist()
 
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +72,5 @@ def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the corpus: lines cut at blanks, one block a line."""
     rows = lines(spark, sf_dir).select("doc_id", "page", F.col("line_no").alias("block_no"), F.posexplode(F.split("line", " ")).alias("pos", "text"))
-    return rows.select("doc_id", "page", (F.col("block_no") * 1000 + F.col("pos")).alias("word_no"), "text", "block_no")
+    x, y = (F.col("pos") * 50).cast("double"), (F.col("block_no") % 30 * 14).cast("double")
+    return rows.select("doc_id", "page", (F.col("block_no") * 1000 + F.col("pos")).alias("word_no"), "text", "block_no", x.alias("x0"), y.alias("y0"), (x + 7 * F.length("text")).alias("x1"), (y + 12).alias("y1"))
