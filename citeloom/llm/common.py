@@ -26,14 +26,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW_GROUP = 16 << 20
 
 
-#: Texts are long: Arrow batches of the default 64 MB cost a task several times that outside the heap.
+#: Texts are long: Arrow batches of the default 64 MB cost a task several times that outside the heap, and leave it in pieces.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches at 8 MB in this session, unless it sets a size of its own."""
+    """Hold Arrow batches at 2 MB in this session, unless it sets a size of its own."""
     if BATCH not in spark.conf.getAll:
-        spark.conf.set(BATCH, "8m")
+        spark.conf.set(BATCH, "2m")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,10 +42,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one of a local session; an error on a cluster."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="citeloom-")
         sc.setCheckpointDir(known)
     return known

@@ -39,7 +39,7 @@ PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+|
 class Encoder:
     """Token ids of whole texts; ids of pre-tokens are remembered up to a bound, the tokenizer runs on unseen ones only."""
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 150_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
