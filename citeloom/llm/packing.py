@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -28,49 +28,54 @@ from pyspark.sql import functions as F
 from .common import read, settle, shuffle_partitions, slices, task
 
 CAPACITY, END = 1024, 2
-#: Characters for which PRETOKEN cuts as the tokenizer does.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
-#: Fixed value: the tokenizer's rule for cutting a text into pre-tokens, which are tokenised one by one; its classes of letters
-#: and numbers are written out for the plain characters.
-LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: Fixed value: how byte-level BPE cuts a text into pre-tokens.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Encoder:
-    """Token ids of whole texts; ids of pre-tokens are remembered up to a bound, the tokenizer runs on unseen ones only."""
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
+
 
-    def __init__(self, path: str, bound: int = 150_000):
+class Encoder:
+    """Token ids of whole texts by the vocabulary of a byte-level BPE tokenizer file.
+
+    Merges are applied in the order of token ids, which is checked against the file's list. Texts that hold the string of an added token go
+    to the tokenizer itself, as such strings match before a text is cut.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec["pre_tokenizer"] or {}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if model["type"] != "BPE" or cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or cut.get("add_prefix_space") or spec["normalizer"] or merged != sorted(merged):
+            raise ValueError(f"not a plain byte-level BPE tokenizer: {path}")
+        self.path, self.added = path, [t["content"] for t in spec["added_tokens"]]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cached_property
+    def whole(self):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.bound, self.known = Tokenizer.from_file(path), bound, {}
-        #: Added tokens match inside a text before it is cut into words.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.bound:
-            self.known = {}
-        known, cut, odd, miss = self.known, [], {}, set()
-        for k, t in enumerate(texts):
-            if PLAIN.search(t) or any(a in t for a in self.added):
-                odd[k] = self._whole(t)
-                cut.append(())
-                continue
-            parts = PRETOKEN.findall(t)
-            cut.append(parts)
-            miss.update(set(parts).difference(known))
-        new = list(miss)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
-        return [odd[k] if k in odd else b"".join(map(known.__getitem__, parts)) for k, parts in enumerate(cut)]
+        return Tokenizer.from_file(self.path)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if any(a in text for a in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.asarray(ids, "<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=1)
@@ -93,8 +98,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
         encoder, end = shared_encoder(path), np.asarray([END], "<u4").tobytes()
         for b in slices(batches, 256, 1):
             rows: list[tuple] = []
-            for i, ids in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += end
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = encoder.encode(text or "") + end
                 for k, (at, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + n)]
                     rows.append((i, k, at, n, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None))

@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from citeloom.llm import html_text, jaccard_join, line_crf, mixing, nearest, passage_dedup, pii, quality_rules, simgraph, url_filter
+from citeloom.llm import html_text, jaccard_join, line_crf, mixing, nearest, packing, passage_dedup, pii, quality_rules, simgraph, url_filter
 from citeloom.llm.common import parity, read, shingle_batch, slices, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -196,6 +196,19 @@ def test_crf_long_texts():
     assert np.allclose(scores, x @ model.weights) and (n == sizes).all()
 
 
+def test_encoder_against_the_tokenizer():
+    """All of sf0.001 and random strings of letters, marks, white space, other scripts and the added token."""
+    import random
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    fast, whole, rnd = packing.Encoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path()), random.Random(4)
+    parts = ["a", "b", "1", "²", ".", "'s", "'", " ", "\n", "\t", "\xa0", "é", "À", "的", "😀", "̀", "<|endoftext|>", "<|"]
+    texts = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist() + ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(5000)]
+    assert all(np.frombuffer(fast.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def test_mixing_dual(spark):
     """Rates are min(3, exp(lambda * size)) with the multiplier of a plain bisection; targets are met before rounding."""
     table = read(spark, SF, "documents")
