@@ -103,14 +103,14 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `row`: a name of (doc_id, text); rows equal in both are numbered, in any order, as nothing tells them apart."""
+    """docs with `row`: a name of (doc_id, text); rows equal in both are numbered."""
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     again = settle(docs.groupBy("row").agg(F.count("*").alias("_n")).where("_n > 1").select("row"))
     n = again.count()
     if not n:
         return docs
     again = broadcast_if_small(again, n)
-    twins = docs.join(again, "row", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("row").orderBy(F.lit(0))))
+    twins = docs.join(again, "row", "left_semi").withColumn("_copy", F.row_number().over(W.partitionBy("row").orderBy("doc_id", "text")))
     twins = twins.withColumn("row", F.when(F.col("_copy") > 1, F.xxhash64("row", "_copy")).otherwise(F.col("row"))).drop("_copy")
     return docs.join(again, "row", "left_anti").unionByName(twins).select(*docs.columns)
 
