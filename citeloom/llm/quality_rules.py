@@ -118,24 +118,30 @@ RULES = (
 )
 
 
-def some_rows(docs: DataFrame, files: int = 8, rows: int = 2000) -> DataFrame:
-    """At most so many rows from at most so many of the files, evenly chosen by name: bounded whatever the size of the table."""
+def some_files(docs: DataFrame, files: int = 8) -> DataFrame:
+    """The rows of at most so many of the files, evenly chosen by name."""
     found = sorted(re.sub("^file:/+", "file:/", p) for p in docs.inputFiles())  # as the file source writes paths
     if len(found) > files:
         try:
             docs = docs.where(F.col("_metadata.file_path").isin(found[:: -(-len(found) // files)]))
         except AnalysisException:  # not a plain scan of files
             pass
-    return docs.limit(rows)
+    return docs
 
 
-def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text") -> list[Rule]:
-    """Rules ordered by rejections per second, both measured on a bounded sample. Only two sums a rule reach the driver."""
+def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text", most: int = 250) -> list[Rule]:
+    """Rules ordered by rejections per second, both measured on the first `most` rows of each task over a few files.
+
+    Only two sums a rule reach the driver. The order decides about time only, so the sample may be small.
+    """
 
     def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, cut, n = [0.0] * len(rules), [0] * len(rules), 0
-        for b in batches:
+        spent, cut, n, seen = [0.0] * len(rules), [0] * len(rules), 0, 0
+        for b in slices(batches, 50):
+            if seen >= most:
+                break
             for t in b.column(0).to_pylist():
+                seen += 1
                 doc = measure(t)
                 if base_failed(doc):
                     continue
@@ -146,7 +152,7 @@ def plan_cascade(docs: DataFrame, rules=RULES, text_col: str = "text") -> list[R
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": pa.array(range(len(rules)), pa.int32()), "spent": spent, "cut": pa.array(cut, pa.int64()), "n": pa.array([n] * len(rules), pa.int64())})
 
-    tried = some_rows(docs).select(text_col).mapInArrow(trial, "rule int, spent double, cut long, n long")
+    tried = some_files(docs).select(text_col).mapInArrow(trial, "rule int, spent double, cut long, n long")
     found = {r["rule"]: r for r in tried.groupBy("rule").sum("spent", "cut", "n").collect()}
 
     def worth(k: int) -> float:
