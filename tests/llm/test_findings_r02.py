@@ -1,5 +1,6 @@
 """Cases of the second review: each failed before its finding was settled."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -267,3 +268,45 @@ def test_nearest_on_embeddings(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int, chunk string")
     found = {(r.query_id, r.rank): r.vec_id for r in nearest.search(table, table.where("vec_id in (0, 200)")).collect()}
     assert [found[0, k] for k in range(1, 11)] == list(range(1, 11)) and [found[200, k] for k in range(1, 11)] == list(range(10))
+
+
+def test_packing_plan_against_best_fit():
+    """All pieces are placed without overlap, and in no more sequences than plain best fit, longest first, takes (1 % and one aside)."""
+    rnd = np.random.default_rng(8)
+    for top in (1024, 600, 300):
+        lengths = np.concatenate([rnd.integers(1, top + 1, 3000), rnd.integers(1, 60, 2000)])
+        histogram = collections.Counter(lengths.tolist())
+        used, ranks = collections.defaultdict(list), collections.Counter()
+        for n, first, count, per, sequence, offset in packing.plan(dict(histogram), 1024):
+            assert first == ranks[n]
+            ranks[n] += count
+            for k in range(count):
+                at = offset + k % per * n
+                used[sequence + k // per].append((at, at + n))
+        assert ranks == histogram
+        for spans in used.values():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        gaps: list[int] = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            k = bisect.bisect_left(gaps, n)
+            room = gaps.pop(k) if k < len(gaps) else 1024
+            bisect.insort(gaps, room - n)
+        assert len(used) <= 1.01 * len(gaps) + 1
+
+
+def test_crf_scores_against_all_labellings(spark):
+    """Scores are the calibrated mean of the marginals by line length, marginals by enumeration of all labellings."""
+    import itertools
+
+    rnd = np.random.default_rng(6)
+    model = line_crf.Model(rnd.normal(size=3 * line_crf.N), 0.8, 1.3, -0.2)
+    texts = ["One line.", "Two lines\nof words", "a\n\nB C d e f!\n12 | 3", ""]
+    table = spark.createDataFrame([(k, t, "x", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
+    for r in line_crf.score(table, model).collect():
+        x, sizes = line_crf.text_features(texts[r.doc_id])
+        s = x @ model.weights
+        weigh = {y: math.exp(sum(a * b for a, b in zip(s, y, strict=True)) + model.stay * sum(a == b for a, b in itertools.pairwise(y))) for y in itertools.product((0, 1), repeat=len(s))}
+        good = [sum(v for y, v in weigh.items() if y[k]) / sum(weigh.values()) for k in range(len(s))]
+        q = sum(g * n for g, n in zip(good, sizes, strict=True)) / sizes.sum()
+        assert abs(r.score - 1 / (1 + math.exp(-(1.3 * math.log(q / (1 - q)) - 0.2)))) < 1e-9
