@@ -87,7 +87,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches, rows: int = 2000, column: int = -1, most: int = 1 << 20):
+def slices(batches, rows: int = 2000, column: int = -1, most: int = 1 << 18):
     """Record batches of at most so many rows and about `most` bytes of a text column, so that long texts do not pile up."""
     for b in batches:
         if column < 0:
@@ -154,7 +154,7 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each x[start:end], from one polynomial prefix sum over uint64 values."""
-    up, down = powers(max(20, int(len(x)).bit_length()))
+    up, down = powers(max(18, int(len(x)).bit_length()))
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x * up[: len(x)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts])

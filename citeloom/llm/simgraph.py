@@ -34,20 +34,23 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternating large and small stars; every step is a minimum per node (combined map-side) and an equi-join.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         small = settle(small)
-        found = tuple(small.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
         drop_settled(now)
         now = small
-        if found == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = found
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (a, b), a > b, has one edge, and no b is an a: then b is the smallest node of its component."""
+    roots = edges.select(F.col("b").alias("a")).distinct().withColumn("_root", F.lit(True))
+    more = edges.groupBy("a").agg(F.count("*").alias("_n")).join(roots, "a", "left").where("_n > 1 or _root")
+    return more.isEmpty()
 
 
 def shared_rows(index: DataFrame) -> DataFrame:
