@@ -195,7 +195,7 @@ def parse(page: str | None, main: int | None = None) -> tuple[list[Block], dict[
             flush()
             if tag in CLOSES_P and opened["p"]:
                 pop({"p"})
-            if tag in SIBLINGS:
+            if any(opened[x] for x in SIBLINGS.get(tag, ())):
                 pop(SIBLINGS[tag])
             links = 0 if tag in ("p", "div", "article", "section") else links
             if tag == "hr":
