@@ -157,7 +157,7 @@ def pages_of(spark, rows):
 def test_html_template_decides_without_telling_names(spark):
     rows = [(k, f"http://h.org/{k}", PLAIN.format(f"no{chr(97 + k)}")) for k in range(6)]
     got = {r.page_id: r.text for r in html_text.extract(pages_of(spark, rows)).collect()}
-    assert got == {k: f"Body of no{c} has many words no{c} in it, as bodies do, and so it goes on, for as long as the one who writes has things to tell of no{c} to those who read it, more than all around it holds. for as long as the one who writes has things to tell of no{c} to those who read it, more than all around it holds.\n\nSecond no{c} part." for k, c in enumerate("abcdef")}
+    assert got == {k: f"Body of no{c} has many words no{c} in it, as bodies do, and so it goes on, for as long as the one who writes has things to tell of no{c} to those who read it, more than all around it holds.\n\nSecond no{c} part." for k, c in enumerate("abcdef")}
     assert all(html_text.main_text(h) != got[k] for k, _, h in rows)  # without a template it reads otherwise
 
 
