@@ -140,6 +140,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Rows of repeats() for runs of RUN words that two rows or more of (doc_id, text, row) share; marks: (row, doc_id, pos, key)."""
     spark = docs.sparkSession
     lead = marks.groupBy("key").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("key", "lead")
+    first = lead = settle(lead)  # a table of its own, so that the join can split a key that a third of the rows hold
     hits = marks.join(lead, "key").where("row <> lead.row")
     hits = settle(hits.select("key", "row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0")))
     steps = settle(chains(hits, ANCHOR).withColumn("b", F.col("b") + ANCHOR).withColumn("_l", (F.col("a") + F.col("delta")) * 2).withColumn("_r", (F.col("b") + F.col("delta")) * 2 + 1))
@@ -231,7 +232,8 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     found = settle(asked(docs, open_, "wants").select("doc_id", "text", "row", "wants").mapInArrow(around, "doc_id long, h long, row long, pos long, start long, end long"))
     lead = found.groupBy("h").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("h", "lead")
-    more = found.join(lead, "h").where("row <> lead.row").select("row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0"))
+    again = settle(lead)
+    more = found.join(again, "h").where("row <> lead.row").select("row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0"))
     more = settle(chains(more, 1))
     place = lambda row, pos, name, of: found.select(F.col("row").alias(row), F.col("pos").alias(pos), F.col(of).alias(name))
     more = more.withColumn("a0", F.col("a") + F.col("delta")).withColumn("b0", F.col("b") + F.col("delta"))
@@ -259,7 +261,7 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
     gone = gone.groupBy("doc_id", "row", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"), size, head)
     gone = gone.select("doc_id", "row", name("start").alias("para"), "start", "end", "n_shingles", F.col("head.doc0").alias("component_doc"), name("head._a").alias("component_para"), F.lit(True).alias("removed"))
     out = settle(stay.unionByName(gone))
-    drop_settled(hits, steps, wants, seen, grown, open_, found, more, spans, firsts)
+    drop_settled(hits, steps, wants, seen, grown, open_, found, more, spans, firsts, first, again)
     release(spark)
     return out
 
