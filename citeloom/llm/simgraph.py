@@ -6,11 +6,13 @@ Sets under a key are not joined all with all:
 - Keys of more than `block` sets go through star rounds: each key names a leader, its members are verified against it, and
   what links is contracted. Rounds go on as long as they link anything and such keys still span several components.
 - Keys of more than `crowd` sets are then compared in tiles of at most 2 * block rows, by sketches that cannot miss a link.
-  A tile gives a forest of the likeliest pairs, which joins what its near pairs join with fewer rows than it has sets; when
-  these are verified and contracted, the near pairs that still span two components follow.
+  A tile gives a forest of the likeliest pairs, which joins what its near pairs join with fewer rows than it has sets. When
+  these are verified and contracted, a tile names the sets that are still near one of another component, and these are
+  compared as whole sets inside the tile, which gives a forest of links. No step gives more rows than it takes: near pairs
+  that do not link, whose number is the square of a group's, never leave a task.
 - Small keys meet by an equi-join, across components only.
 
-Pairs are verified on the whole sets. Links, labels and components stay distributed; each step is written to the shared
+All links are verified on the whole sets. Links, labels and components stay distributed; each step is written to the shared
 folder, so a lost executor repeats one step.
 """
 
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, settle, shuffle_partitions, task
+from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, parity, settle, shuffle_partitions, task
 
 CROWD, BLOCK, STARS = 16, 2048, 8
+#: Items of the sets that one side of a tile of whole sets holds (8 MB), unless a single set has more.
+MOST_ITEMS = 1 << 20
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -62,10 +66,10 @@ def shared_rows(index: DataFrame) -> DataFrame:
     return out
 
 
-def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[np.ndarray], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
-    """Positions of pairs of a tile that may link: side 1 meets side 2, side 3 both; across components only.
+def near_rows(size: np.ndarray, label: np.ndarray, side: np.ndarray, odd: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(position, positions near it, distances) of a tile's sets that may link: side 1 meets side 2, side 3 both; across labels only.
 
-    forest: of the pairs between two components that earlier pairs have not joined, the one of the closest sketches.
+    The caller may merge labels meanwhile.
     """
     words = BITS // 64
     fold = np.array([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in odd]).view(np.uint64)
@@ -73,8 +77,6 @@ def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[n
     at = np.cumsum(large) - 1
     whole = np.array([odd[k] for k in np.flatnonzero(large)]).view(np.uint64) if large.any() else None
     left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-    label = np.unique(comp, return_inverse=True)[1]
-    out: list[tuple[int, int]] = []
     for k in range(0, len(left), 32):
         i = left[k : k + 32]
         apart = np.bitwise_count(fold[i, None, :] ^ fold[None, right, :]).sum(2, dtype=np.int64)
@@ -86,47 +88,125 @@ def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[n
         n, m = size[i, None], size[None, right]
         ok = (apart * (den + num) <= (n + m) * (den - num)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (label[i, None] != label[None, right])
         for x in np.flatnonzero(ok.any(1)):
-            a, near = i[x], np.flatnonzero(ok[x])
-            if forest:
-                near = near[label[right[near]] != label[a]]
-                near = near[np.argsort(apart[x, near], kind="stable")]
-                kinds, first = np.unique(label[right[near]], return_index=True)
-                near = near[first]
-                label[np.isin(label, kinds)] = label[a]
-            out.extend((int(a), int(b)) for b in right[near])
+            near = np.flatnonzero(ok[x])
+            near = near[label[right[near]] != label[i[x]]]
+            if len(near):
+                yield int(i[x]), right[near], apart[x, near]
+
+
+def merge(label: np.ndarray, a: int, near: np.ndarray) -> np.ndarray:
+    """The first of each label among the positions `near`; their labels become that of a."""
+    kinds, first = np.unique(label[near], return_index=True)
+    label[np.isin(label, kinds)] = label[a]
+    return near[first]
+
+
+def near_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, odd: list[np.ndarray], num: int, den: int, forest: bool) -> list[tuple[int, int]]:
+    """Positions of pairs of a tile that may link, across components only.
+
+    forest: of the pairs between two components that earlier pairs have not joined, the one of the closest sketches.
+    """
+    label = np.unique(comp, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for a, near, apart in near_rows(size, label, side, odd, num, den):
+        if forest:
+            near = merge(label, a, near[np.argsort(apart, kind="stable")])
+        out.extend((a, int(b)) for b in near)
+    return out
+
+
+def linked_pairs(size: np.ndarray, comp: np.ndarray, side: np.ndarray, items: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Positions of pairs of a tile that link, counted on the whole sets: a forest that joins what all its links join."""
+    label = np.unique(comp, return_inverse=True)[1]
+    names, flat = np.unique(np.concatenate(items), return_inverse=True)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    mark, out = np.zeros(len(names), bool), []
+    for a, near, _ in near_rows(size, label, side, [np.array(parity(x.view(np.uint64))) for x in items], num, den):
+        mark[parts[a]] = True
+        same = np.array([np.count_nonzero(mark[parts[b]]) for b in near])
+        mark[parts[a]] = False
+        near = near[den * same >= num * (size[a] + size[near] - same)]
+        if len(near):
+            out.extend((a, int(b)) for b in merge(label, a, near))
     return out
 
 
-def crowded_pairs(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b) of rows (key, tile, side, ent, n, comp, odd), which are dealt by key and tile; groups of one task pass one by one."""
+def by_tile(rows: DataFrame, by: list[str], of: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """of() for the rows of each group, dealt by the columns `by`; groups of one task pass one by one."""
 
     @task("simgraph")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
             t = pa.Table.from_batches([b] if rest is None else [*rest, b]).combine_chunks()
-            key, tile = (t.column(c).to_numpy() for c in ("key", "tile"))
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
-            if len(cut):
-                yield from groups(t.slice(0, int(cut[-1])), [0, *cut.tolist()])
-                t = t.slice(int(cut[-1]))
+            cut = np.zeros(max(0, t.num_rows - 1), bool)
+            for c in by:
+                x = t.column(c).to_numpy()
+                cut |= x[1:] != x[:-1]
+            at = (np.flatnonzero(cut) + 1).tolist()
+            if at:
+                yield from groups(t, [0, *at])
+                t = t.slice(at[-1])
             rest = t.to_batches()
         if rest:
             t = pa.Table.from_batches(rest)
             yield from groups(t, [0, t.num_rows])
 
     def groups(t: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
-        size, comp, side, ent = (t.column(c).to_numpy() for c in ("n", "comp", "side", "ent"))
         for lo, hi in zip(at, at[1:], strict=False):
-            odd = [x.values.to_numpy() for x in t.column("odd").slice(lo, hi - lo)]
-            found = near_pairs(size[lo:hi].astype(np.int64), comp[lo:hi], side[lo:hi], odd, num, den, forest)
-            if found:
-                x = ent[lo:hi][np.array(found)]
-                x.sort(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+            found = of(t.slice(lo, hi - lo).combine_chunks())
+            if found is not None:
+                yield found
+
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def tile_columns(t: pa.Table, last: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    size, comp, side = (t.column(c).to_numpy() for c in ("n", "comp", "side"))
+    return size.astype(np.int64), comp, side, [x.values.to_numpy() for x in t.column(last)]
+
+
+def pair_batch(t: pa.Table, found: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    if not found:
+        return None
+    x = t.column("ent").to_numpy()[np.array(found)]
+    x.sort(axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
 
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "tile").sortWithinPartitions("key", "tile")
-    return dealt.mapInArrow(run, "a long, b long")
+def forest_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of rows (key, tile, side, ent, n, comp, odd): the forest of each tile's near pairs."""
+    return by_tile(tiles, ["key", "tile"], lambda t: pair_batch(t, near_pairs(*tile_columns(t, "odd"), num, den, True)), "a long, b long")
+
+
+def open_rows(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """Those rows of tiles, without sketches, that are near a row of another component."""
+    names = ["key", "tile", "side", "ent", "n", "comp"]
+
+    def of(t: pa.Table) -> pa.RecordBatch | None:
+        size, comp, side, odd = tile_columns(t, "odd")
+        kept = np.zeros(len(size), bool)
+        for a, near, _ in near_rows(size, comp, side, odd, num, den):
+            kept[a] = kept[near] = True
+        return t.filter(pa.array(kept)).select(names).combine_chunks().to_batches()[0] if kept.any() else None
+
+    return by_tile(tiles, ["key", "tile"], of, "key long, tile long, side int, ent long, n int, comp long")
+
+
+def forest_links(rows: DataFrame, sets: DataFrame, num: int, den: int, most: int = MOST_ITEMS) -> DataFrame:
+    """(a, b) that join what the links within each tile of open_rows() join; sets: (ent, items).
+
+    Tiles of more than `most` items are cut into cells, so that a task holds few sets however large they are.
+    """
+    parts = settle(rows.groupBy("key", "tile").agg(F.ceil(F.sum("n") / most).alias("parts")))
+    wide = rows.join(broadcast_if_small(parts, parts.count(), 500_000), ["key", "tile"])
+    many = wide.where("parts > 1").withColumn("_own", F.pmod(F.xxhash64("ent", F.lit(1)), F.col("parts"))).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = wide.where("parts = 1").withColumn("cell", F.lit(0).cast("long"))
+    names = ["key", "tile", "cell", "side", "ent", "n", "comp"]
+    for side, cell in ((1, "_own * parts + _to"), (2, "_to * parts + _own")):
+        cells = cells.select(*names).unionByName(many.where(F.col("side").bitwiseAND(side) > 0).withColumn("side", F.lit(side)).withColumn("cell", F.expr(cell)).select(*names))
+    cells = cells.join(sets.dropDuplicates(["ent"]), "ent")
+    return by_tile(cells, ["key", "tile", "cell"], lambda t: pair_batch(t, linked_pairs(*tile_columns(t, "items"), num, den)), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -209,8 +289,17 @@ def components(shared: DataFrame, entities: DataFrame, fetch: Callable[[DataFram
         cols = ["key", "tile", "side", "ent", "n", "comp"]
         tiles = wide.where("blocks = 1").withColumn("tile", F.lit(0).cast("long")).withColumn("side", F.lit(3)).select(*cols)
         tiles = tiles.unionByName(ask.select(*cols)).unionByName(base.select(*cols)).join(entities.select("ent", "odd"), "ent")
-        if verify(crowded_pairs(tiles, num, den, forest)):
-            state = contract(state)
+        if forest:
+            if verify(forest_pairs(tiles, num, den)):
+                state = contract(state)
+            continue
+        left = settle(open_rows(tiles, num, den))
+        if not left.isEmpty():
+            new = settle(forest_links(left, fetch(left.select("ent").distinct()), num, den).distinct())
+            if not new.isEmpty():
+                links = new if links is None else links.unionByName(new)
+                state = contract(state)
+        drop_settled(left)
     small = state.groupBy("key").count().where(F.col("count") <= crowd).select("key")
     rows = settle(state.join(small, "key", "left_semi"))
     left = rows.select("key", F.col("ent").alias("a0"), "n", F.col("comp").alias("c0"))
