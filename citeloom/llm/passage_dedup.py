@@ -122,18 +122,21 @@ def asked(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "row")
 
 
-def chains(hits: DataFrame, reach: int) -> DataFrame:
-    """(row, doc_id, row0, doc0, delta, a, b) of hits (row, doc_id, pos, row0, doc0, pos0): neighbours in step, at most `reach` apart."""
+def chains(hits: DataFrame, reach: int, *more: Column) -> DataFrame:
+    """(row, doc_id, row0, doc0, delta, a, b) of hits (row, doc_id, pos, row0, doc0, pos0): neighbours in step, at most `reach` apart.
+
+    more: other aggregates over the hits of a chain.
+    """
     hits = hits.withColumn("delta", F.col("pos0") - F.col("pos"))
     order = W.partitionBy("row", "row0", "delta").orderBy("pos")
     fresh = F.coalesce(F.col("pos") - F.lag("pos").over(order) > reach, F.lit(True)).cast("int")
     hits = hits.withColumn("_fresh", fresh).withColumn("_chain", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return hits.groupBy("row", "doc_id", "row0", "doc0", "delta", "_chain").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).drop("_chain")
+    return hits.groupBy("row", "doc_id", "row0", "doc0", "delta", "_chain").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), *more).drop("_chain")
 
 
-def first_place(of: str) -> Column:
-    """The first by (doc_id, place), rows without id last."""
-    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", F.col(of).alias("pos"))).alias("lead")
+def first_place(of: str, *more: str) -> Column:
+    """The first by (doc_id, place), rows without id last, with more columns of its row."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", F.col(of).alias("pos"), *more)).alias("lead")
 
 
 def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -231,14 +234,11 @@ def passages(docs: DataFrame, marks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), *(pa.array(np.concatenate(c)) for c in cols)], ["doc_id", "h", "row", "pos", "start", "end"])
 
     found = settle(asked(docs, open_, "wants").select("doc_id", "text", "row", "wants").mapInArrow(around, "doc_id long, h long, row long, pos long, start long, end long"))
-    lead = found.groupBy("h").agg(first_place("pos"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("h", "lead")
+    lead = found.groupBy("h").agg(first_place("pos", "start", "end"), F.min("row").alias("_lo"), F.max("row").alias("_hi")).where("_lo <> _hi").select("h", "lead")
     again = settle(lead)
-    more = found.join(again, "h").where("row <> lead.row").select("row", "doc_id", "pos", F.col("lead.row").alias("row0"), F.col("lead.doc_id").alias("doc0"), F.col("lead.pos").alias("pos0"))
-    more = settle(chains(more, 1))
-    place = lambda row, pos, name, of: found.select(F.col("row").alias(row), F.col("pos").alias(pos), F.col(of).alias(name))
-    more = more.withColumn("a0", F.col("a") + F.col("delta")).withColumn("b0", F.col("b") + F.col("delta"))
-    for row, pos, name, of in (("row", "a", "start", "start"), ("row", "b", "end", "end"), ("row0", "a0", "start0", "start"), ("row0", "b0", "end0", "end")):
-        more = more.join(place(row, pos, name, of).distinct(), [row, pos])
+    more = found.join(again, "h").where("row <> lead.row").select("row", "doc_id", "pos", "start", "end", *(F.col(f"lead.{c}").alias(n) for c, n in (("row", "row0"), ("doc_id", "doc0"), ("pos", "pos0"), ("start", "start0"), ("end", "end0"))))
+    # both texts advance within a chain, so its ends are those of its first and last window
+    more = settle(chains(more, 1, *(F.min(c).alias(c) for c in ("start", "start0")), *(F.max(c).alias(c) for c in ("end", "end0"))))
     spans = settle(spans.unionByName(more.withColumn("wa", F.col("a")).withColumn("wb", F.col("b") + RUN).select(*spot)).distinct())
 
     def unions(t: DataFrame, row: str, start: str, end: str) -> DataFrame:

@@ -30,14 +30,40 @@ from .common import BITS, SMALL_SET, broadcast_if_small, drop_settled, parity, s
 CROWD, BLOCK, STARS = 16, 2048, 8
 #: Items of the sets that one side of a tile of whole sets holds (8 MB), unless a single set has more.
 MOST_ITEMS = 1 << 20
+#: Edges that one task joins (8 MB); above that, star rounds over all tasks.
+FEW_EDGES = 500_000
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), and the smallest node of the component of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def connected(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the smallest node of its component.
 
-    Alternating large and small stars; every step is a minimum per node (combined map-side) and an equi-join.
+    At most `few` edges are joined by one task. More go through alternating large and small stars; every step is a minimum
+    per node (combined map-side) and an equi-join.
     """
+
+    @task("simgraph")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.stack([b.column(c).to_numpy() for c in (0, 1)]) for b in batches]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in smallest(*np.concatenate(parts, axis=1))], ["node", "root"])
+
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= few:
+        out = settle(now.coalesce(1).mapInArrow(join, "node long, root long"))
+        drop_settled(now)
+        return out
     while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
